@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemere.llm import rules, simhash
+from tablemere.llm import mixing, rules, simhash, urls
 from tablemere.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"), urls.QUERY_RULES)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": rules.ORACLE_SQL}
+    return {"op3_quality_rules": rules.ORACLE_SQL, "op4_url_filters": urls.ORACLE_SQL}
