@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablemere.llm import mixing, rules, simhash, urls
-from tablemere.llm.common import read_table
+from tablemere.llm import bpe, langid, mixing, rules, secrets, simhash, urls
+from tablemere.llm.common import crc_mod, read_table
+
+#: Where the tokenizers file is, on the driver.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +28,22 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"), urls.QUERY_RULES)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(read_table(spark, sf_dir, "documents")))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    marked = docs.select(F.struct("doc_id", held_out.alias("held_out")).alias("key"), "text")
+    return langid.predict(marked, model, "key").select("key.*", "lang_pred", "score")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
