@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemere.llm import bpe, langid, mixing, rules, secrets, simhash, urls
+from tablemere.llm import bpe, langid, mixing, quality, rules, secrets, simhash, urls
 from tablemere.llm.common import crc_mod, read_table
 
 #: Where the tokenizers file is, on the driver.
@@ -20,6 +20,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def _classified(docs: DataFrame, modulus: int, rest: int, scored, threshold: float) -> DataFrame:
+    """(doc_id, held_out, score, predicted) with ``scored`` of documents keyed by id and held_out."""
+    marked = docs.select(F.struct("doc_id", (crc_mod("doc_id", modulus) == rest).alias("held_out")).alias("key"), "text")
+    return scored(marked).select("key.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    forest = quality.fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    return _classified(docs, 5, 0, lambda d: quality.score(d, forest, "key"), 0.3)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(spark, sf_dir, "documents"))
 
