@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemere.llm import bpe, langid, mixing, quality, rules, secrets, simhash, urls, vectors
+from tablemere.llm import bpe, langid, mixing, quality, rules, secrets, simhash, toxicity, urls, vectors
 from tablemere.llm.common import crc_mod, read_table
 
 #: Where the tokenizers file is, on the driver.
@@ -44,6 +44,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    return _classified(docs, 5, 0, lambda d: toxicity.score(d, model, "key"), 0.5)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 4) == 2
