@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tablemere.llm.automaton import SuffixAutomaton
 from tablemere.llm.common import map_texts
@@ -74,8 +75,8 @@ class BpeModel:
         self.whole = {self.token[i]: i for i in whole}
         self._split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._pieces = regex.compile(PIECES)
-        self._new: dict[str, tuple[str, str]] = {}
-        self._old: dict[str, tuple[str, str]] = {}
+        self._new: dict[str, tuple[str, str, bytes]] = {}
+        self._old: dict[str, tuple[str, str, bytes]] = {}
 
     def _crossing(self, a: int, b: int) -> int:
         """Rank of the first merge across the border of tokens a and b; _NEVER if none.
@@ -155,19 +156,19 @@ class BpeModel:
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.token[i] for i in ids]).decode("utf-8", "replace")
 
-    def _piece(self, piece: str) -> tuple[str, str]:
-        """(ids joined by commas, their decoded text) of a piece, kept for two generations."""
+    def _piece(self, piece: str) -> tuple[str, str, bytes]:
+        """(ids joined by commas, their decoded text, ids as 32-bit integers) of a piece, kept for two generations."""
         found = self._old.get(piece)
         if found is None:
             ids = self.encode_piece(piece.encode())
             text = self.decode(ids)
-            found = (",".join(map(str, ids)), piece if text == piece else text)
+            found = (",".join(map(str, ids)), piece if text == piece else text, array("i", ids).tobytes())
         if len(self._new) >= CACHE_PIECES:
             self._old, self._new = self._new, {}
         self._new[piece] = found
         return found
 
-    def _parts(self, text: str) -> list[tuple[str, str]]:
+    def _plain(self, text: str) -> list[tuple[str, str, bytes]]:
         new, piece = self._new, self._piece
         out = []
         for p in self._pieces.findall(text):
@@ -178,23 +179,20 @@ class BpeModel:
             out.append(found)
         return out
 
-    def run(self, text: str) -> tuple[str, str]:
-        """(ids joined by commas, decoded text) of a whole text; special tokens' strings are those tokens."""
+    def parts(self, text: str) -> list[tuple[str, str, bytes]]:
+        """The pieces of a whole text, as ``_piece`` has them; special tokens' strings are those tokens."""
         if self._split is None or not self._split.search(text):
-            parts = self._parts(text)
-        else:
-            parts, at = [], 0
-            for m in self._split.finditer(text):
-                parts += self._parts(text[at : m.start()])
-                token = self.special[m[0]]
-                parts.append((str(token), self.decode([token])))
-                at = m.end()
-            parts += self._parts(text[at:])
-        return ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])
+            return self._plain(text)
+        out, at = [], 0
+        for m in self._split.finditer(text):
+            out += self._plain(text[at : m.start()])
+            token = self.special[m[0]]
+            out.append((str(token), self.decode([token]), array("i", [token]).tobytes()))
+            at = m.end()
+        return out + self._plain(text[at:])
 
     def encode(self, text: str) -> list[int]:
-        ids = self.run(text)[0]
-        return list(map(int, ids.split(","))) if ids else []
+        return array("i", b"".join([p[2] for p in self.parts(text)])).tolist()
 
 
 _models: dict[str, BpeModel] = {}
@@ -216,7 +214,7 @@ def _texts(data: np.ndarray, offs: np.ndarray) -> Iterator[str]:
 
 
 def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text.
+    """(doc_id, ids array<int>, intact) of every whole text; intact: decoding the ids gives the text.
 
     ``tokenizer`` is the path of a tokenizers file on the driver; its content
     goes out with the tasks. Null and empty texts have no ids; repeated rows
@@ -225,24 +223,30 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     source = Path(tokenizer).read_bytes()
 
     def run(data: np.ndarray, offs: np.ndarray) -> dict[str, object]:
-        model = model_of(source)
-        return {"ids": pa.array([model.encode(t) for t in _texts(data, offs)], pa.list_(pa.int32()))}
+        model, raw, sizes, intact = model_of(source), [], [0], []
+        for t in _texts(data, offs):
+            parts = model.parts(t)
+            raw.append(b"".join([p[2] for p in parts]))
+            sizes.append(len(raw[-1]) // 4)
+            intact.append("".join([p[1] for p in parts]) == t)
+        flat = pa.array(np.frombuffer(b"".join(raw), np.int32))
+        return {"ids": pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), flat), "intact": np.array(intact, bool)}
 
-    return map_texts(docs, run, [doc_id], text, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, ids array<int>")
+    return map_texts(docs, run, [doc_id], text, "ids array<int>, intact boolean")
 
 
 def decode(encoded: DataFrame, tokenizer: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(doc_id, text) from ids; null ids give a null text."""
     source = Path(tokenizer).read_bytes()
+    schema = StructType([encoded.schema[doc_id], StructField("text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(source)
         for batch in batches:
             texts = [None if x is None else model.decode(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [doc_id, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema.names)
 
-    kind = encoded.schema[doc_id].dataType.simpleString()
-    return encoded.select(doc_id, ids).mapInArrow(run, f"`{doc_id}` {kind}, text string")
+    return encoded.select(doc_id, ids).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,11 +260,11 @@ def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     def run(data: np.ndarray, offs: np.ndarray) -> dict[str, object]:
         model, counts, ids_sha, text_sha = model_of(source), [], [], []
         for t in _texts(data, offs):
-            ids, back = model.run(t)
+            parts = model.parts(t)
+            ids, back = ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])
             counts.append(ids.count(",") + 1 if ids else 0)
             ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
             text_sha.append(hashlib.sha256(back.encode()).hexdigest())
         return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return map_texts(docs, run, [doc_id], text, f"`{doc_id}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, run, [doc_id], text, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Text bytes that a Python worker handles at once; bounds its temporary arrays.
 SLICE_BYTES = 4 << 20
@@ -29,6 +31,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from the session's spark.checkpoint.dir."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the shared folder and read again, and its path."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tablemere-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stored`` wrote."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop.getParent(), True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,21 +92,35 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
 
 
 def map_texts(
-    df: DataFrame, fn: Callable[[np.ndarray, np.ndarray], dict[str, object]], keep: list[str], text: str, schema: str
+    df: DataFrame, fn: Callable[..., dict[str, object]], keep: list[str], text: str, added: str, nulls: bool = False
 ) -> DataFrame:
     """Apply ``fn(bytes, offsets)`` to slices of a text column; ``keep`` columns pass through.
 
-    ``schema`` names the kept columns first, then fn's arrays in its order.
+    ``added`` names fn's arrays, in its order, and their types. With ``nulls``
+    fn gets a third argument: whether each text is null.
     """
+    fields = [df.schema[k] for k in keep]
+    schema = StructType([StructField(f"k{i}", f.dataType, True) for i, f in enumerate(fields)] + _parse_datatype_string(added).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
-            col = part.column(part.schema.get_field_index(text))
-            made = fn(*text_buffer(col))
-            kept = [part.column(part.schema.get_field_index(k)) for k in keep]
-            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, made.values())], [*keep, *made])
+        for part in slices(batches, "t"):
+            col = part.column(len(keep))
+            made = fn(*text_buffer(col), *([col.is_null().to_numpy(zero_copy_only=False)] * nulls))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *map(pa.array, made.values())], schema.names)
+
+    # names of the columns that pass through don't matter to the workers, whatever they are
+    inner = df.select(*[F.col(_quoted(k)).alias(f"k{i}") for i, k in enumerate(keep)], F.col(_quoted(text)).cast("string").alias("t"))
+    out = inner.mapInArrow(run, schema)
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *schema.names[len(keep) :])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+def whole_row(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """All columns as one struct, so that an operator's own columns can't clash with them."""
+    return F.struct(*[F.col(_quoted(c)) for c in df.columns if c not in but])
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFrame:

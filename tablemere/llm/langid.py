@@ -166,5 +166,4 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
         names, score = model.classify(data, offs)
         return {"lang_pred": pa.array(names, pa.string()), "score": score}
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return map_texts(docs, run, [doc_id], text, f"`{doc_id}` {kind}, lang_pred string, score double")
+    return map_texts(docs, run, [doc_id], text, "lang_pred string, score double")

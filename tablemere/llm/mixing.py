@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablemere.llm.common import checkpoint
+from tablemere.llm.common import checkpoint, whole_row
 from tablemere.llm.rules import words
 
 #: Tokens of a block, until a source has BLOCKS of them; then its blocks grow instead.
@@ -124,7 +124,7 @@ def mix(
     tokens, are used with each whole epoch; documents with equal id and length
     keep their rows and order anyhow; an empty table gives none.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.struct(F.col(doc_id), F.col(source))
+    whole = whole_row(docs) if carry else F.struct(F.col(doc_id), F.col(source))
     rows = docs.select(
         whole.alias("d"), F.col(doc_id).alias("id"), _key(F.col(source)).alias("key"),
         F.size(words(F.col(text))).cast("long").alias("n"),

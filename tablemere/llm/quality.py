@@ -118,7 +118,7 @@ def fit(
     def run(data: np.ndarray, offs: np.ndarray) -> dict[str, object]:
         return {"x": pa.array(list(statistics(data, offs)), pa.list_(pa.float64()))}
 
-    found = map_texts(sampled, run, ["y"], text, "y int, x array<double>").orderBy("y", "x").limit(4 * rows).collect()
+    found = map_texts(sampled, run, ["y"], text, "x array<double>").orderBy("y", "x").limit(4 * rows).collect()
     x = np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES))
     return train(x, np.array([r["y"] for r in found]))
 
@@ -134,5 +134,4 @@ def score(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "
     def run(data: np.ndarray, offs: np.ndarray) -> dict[str, object]:
         return {"score": forest.probability(statistics(data, offs))}
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return map_texts(docs, run, [doc_id], text, f"`{doc_id}` {kind}, score double")
+    return map_texts(docs, run, [doc_id], text, "score double")

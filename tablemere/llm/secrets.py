@@ -218,23 +218,21 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", redact: bo
     empty, and its clean text is null; repeated rows give repeated rows; an
     empty table gives none. Other columns are not read.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
 
-    def run(data: np.ndarray, offs: np.ndarray) -> dict[str, object]:
+    def run(data: np.ndarray, offs: np.ndarray, nulls: np.ndarray) -> dict[str, object]:
         raw, base, spans, clean = data.tobytes(), [], [], []
         row = lambda found: [{"kind": k, "start": i, "stop": j} for k, i, j in found]
-        for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        for i, j, null in zip(offs[:-1].tolist(), offs[1:].tolist(), nulls.tolist(), strict=True):
             t = raw[i:j].decode("utf-8", "replace")
             own, every = all_spans(t)
             base.append(row(own))
             spans.append(row(every))
             if redact:
-                clean.append(redacted(t, every) if every else t)
+                clean.append(None if null else redacted(t, every) if every else t)
         made = {"base": pa.array(base, _ARROW), "spans": pa.array(spans, _ARROW)}
         return made | ({"clean": pa.array(clean, pa.string())} if redact else {})
 
-    schema = f"`{doc_id}` {kind}, base {_SPANS}, spans {_SPANS}" + ", clean string" * redact
-    return map_texts(docs, run, [doc_id], text, schema)
+    return map_texts(docs, run, [doc_id], text, f"base {_SPANS}, spans {_SPANS}" + ", clean string" * redact, nulls=True)
 
 
 def digests(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -57,8 +57,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
         made = [fingerprint(raw[i:j], shingle) for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
         return {"fp": np.array(made, np.uint64).view(np.int64)}
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return map_texts(docs, run, [doc_id], text, f"`{doc_id}` {kind}, fp long")
+    return map_texts(docs, run, [doc_id], text, "fp long")
 
 
 def segment_bits(n: int) -> int:
@@ -258,3 +257,22 @@ def near_duplicates(
     return marked.join(named, "fp").select(
         doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose id names their component: one document of each group of near-duplicates.
+
+    Rows of equal id are one document and one of them stays; rows without id
+    stay, for no group can name them. All columns are unchanged.
+    """
+    found = checkpoint(near_duplicates(docs, doc_id, text, shingle, bits).select(F.col(doc_id).alias("_id"), "component_id"))
+    each = found.where("_id is not null").groupBy("_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.col("_id") == F.col("component_id")).alias("stays")
+    )
+    each = checkpoint(each.where("n > 1 or not stays"))  # most documents are neither repeated nor dropped
+    own = F.col(doc_id) == F.col("_id")
+    out = docs.join(each.select("_id"), own, "left_anti")
+    again = each.where("n > 1 and stays").select("_id")
+    if again.isEmpty():
+        return out
+    return out.union(docs.join(again, own, "left_semi").dropDuplicates([doc_id]))

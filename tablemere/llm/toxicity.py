@@ -279,5 +279,4 @@ def score(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str
     def run(data: np.ndarray, offs: np.ndarray) -> dict[str, object]:
         return {"score": model.probability(data, offs)}
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return map_texts(docs, run, [doc_id], text, f"`{doc_id}` {kind}, score double")
+    return map_texts(docs, run, [doc_id], text, "score double")
