@@ -1 +1 @@
-
+"""Logical types, literals and value semantics."""

@@ -1 +1 @@
-
+"""Predicates and aggregates as column expressions."""
