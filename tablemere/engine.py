@@ -26,7 +26,8 @@ class Engine:
     def query(self, spec: QuerySpec | dict) -> DataFrame:
         """The result of a QuerySpec or of a JSON request."""
         spec = QuerySpec.from_json(spec) if isinstance(spec, dict) else spec
-        return compiled(self.catalog.get(spec.table).rows, spec, self.semantics)
+        table = self.catalog.get(spec.table)
+        return compiled(table.rows if spec.count > 0 or spec.skip > 0 else table.plain, spec, self.semantics)
 
     def sql(self, text: str) -> DataFrame:
         """The result of SQL: the single-table grammar by QuerySpec, anything else by Spark on the catalog's tables."""
@@ -46,7 +47,7 @@ class Engine:
 
     def lookup(self, table: str, column: str | None = None, value: str | None = None, limit: int = 100) -> DataFrame:
         """Rows whose cell, as text, is ``value``; a column that the table lacks has no such row."""
-        rows = self.catalog.get(table).rows
+        rows = self.catalog.get(table).rows if limit > 0 else self.catalog.rows(table)
         if column is not None and value is not None:
             rows = rows.where(text_equals(column, value)) if column in visible(rows) else rows.limit(0)
         if limit > 0:

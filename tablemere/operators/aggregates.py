@@ -24,7 +24,7 @@ def wrapped_sum(col: Column, logical: str) -> Column:
     if logical == "INTEGER":
         return F.shiftright(F.shiftleft(F.sum(col.cast("long")), 32), 32).cast("int")
     if logical == "LONG":
-        half, whole = F.lit(1 << 63).cast("decimal(20,0)"), F.lit(1 << 64).cast("decimal(21,0)")
+        half, whole = F.lit(str(1 << 63)).cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(21,0)")
         total = F.sum(col.cast("decimal(19,0)")).cast("decimal(38,0)")
         return (F.pmod(total + half, whole) - half).cast("long")
     return F.sum(col).cast("float" if logical == "FLOAT" else "double")

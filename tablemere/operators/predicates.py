@@ -6,6 +6,7 @@ import datetime as dt
 import operator
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,7 @@ def like_regex(pattern: str, underscore: bool = True) -> str:
 def _compiles(spark: SparkSession, regex: str) -> bool:
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(regex)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 

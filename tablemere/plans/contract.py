@@ -41,14 +41,15 @@ def _rows(spark: SparkSession, sf_dir: str, table: str, **derived: Column) -> Da
     return scan(spark, f"{sf_dir}/{table}.parquet").withColumns(derived)
 
 
-def _run(rows: DataFrame, spec: QuerySpec, semantics: Semantics = ANSI) -> DataFrame:
+def _run(rows: DataFrame, spec: QuerySpec, semantics: Semantics = ANSI, plain: DataFrame | None = None) -> DataFrame:
     engine = Engine(rows.sparkSession, semantics)
-    engine.catalog.register(spec.table, rows)
+    engine.catalog.register(spec.table, rows if plain is None else plain, rows)
     return engine.query(spec)
 
 
 def _on(spark: SparkSession, sf_dir: str, spec: QuerySpec, semantics: Semantics = ANSI, **derived: Column) -> DataFrame:
-    return _run(_rows(spark, sf_dir, spec.table, **derived), spec, semantics)
+    plain = spark.read.parquet(f"{sf_dir}/{spec.table}.parquet").withColumns(derived)
+    return _run(_rows(spark, sf_dir, spec.table, **derived), spec, semantics, plain)
 
 
 def _q(table: str, *columns: str) -> QuerySpec:
@@ -163,7 +164,7 @@ def conjunction(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT * FROM part WHERE CAST(p_retailprice AS VARCHAR)='900.0'")
 def text_equality(spark: SparkSession, d: str) -> DataFrame:
     engine = Engine(spark)
-    engine.catalog.register("part", _rows(spark, d, "part"))
+    engine.catalog.create_from_parquet("part", f"{d}/part.parquet")
     return engine.lookup("part", "p_retailprice", "900.0", limit=0)
 
 
@@ -188,7 +189,7 @@ def page_2(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT p_partkey, p_name FROM part LIMIT 10")
 def preview_10(spark: SparkSession, d: str) -> DataFrame:
     engine = Engine(spark)
-    engine.catalog.register("part", _rows(spark, d, "part"))
+    engine.catalog.create_from_parquet("part", f"{d}/part.parquet")
     return engine.catalog.preview("part", 10).select("p_partkey", "p_name")
 
 
@@ -311,7 +312,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 def flagship_sql(spark: SparkSession, d: str) -> DataFrame:
     """The flagship as SQL text of the single-table grammar."""
     engine = Engine(spark)
-    engine.catalog.register("lineitem", _rows(spark, d, "lineitem"))
+    engine.catalog.create_from_parquet("lineitem", f"{d}/lineitem.parquet")
     return _rounded(engine.sql(FLAGSHIP_SQL.replace("ROUND(AVG(l_extendedprice), 4)", "AVG(l_extendedprice)")), 4, "avg_fare")
 
 

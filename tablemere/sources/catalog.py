@@ -19,11 +19,16 @@ from tablemere.sources.rows import POSITION, first_rows, hidden, placed, scan, v
 
 @dataclass(frozen=True)
 class Table:
-    """A table's declaration and its rows with their positions. Loads give a new one."""
+    """A table's declaration and its rows, with their positions and without. Loads give a new one.
+
+    Both are lazy; queries that don't depend on the order of loading take
+    ``plain``, so that their scans don't number rows.
+    """
 
     name: str
     columns: tuple[ColumnDef, ...]
     rows: DataFrame
+    plain: DataFrame
     loads: int = 0
 
 
@@ -69,7 +74,8 @@ class Catalog:
     def create(self, name: str, columns: Iterable[ColumnDef | dict | tuple]) -> Table:
         """Declare an empty table."""
         declared = tuple(map(ColumnDef.of, columns))
-        return self._add(Table(name, declared, self._empty(declared)))
+        rows = self._empty(declared)
+        return self._add(Table(name, declared, rows, hidden(rows)))
 
     def create_from_parquet(self, name: str, path: str, row_limit: int = -1, load: bool = True) -> Table:
         """Declare a table as a Parquet file is, and load it in the same step; a failure leaves no table."""
@@ -77,34 +83,38 @@ class Catalog:
             raise TableExists(f"table {name!r} exists")
         columns = tuple(parquet.inferred(self.spark, path))
         if load:
-            return self._add(Table(name, columns, first_rows(scan(self.spark, path), row_limit), 1))
+            rows = first_rows(scan(self.spark, path), row_limit)
+            return self._add(Table(name, columns, rows, hidden(rows) if row_limit > 0 else self.spark.read.parquet(path), 1))
         kinds = {f.name: f.dataType for f in self.spark.read.parquet(path).schema.fields}
-        return self._add(Table(name, columns, self._empty(columns, kinds)))
+        rows = self._empty(columns, kinds)
+        return self._add(Table(name, columns, rows, hidden(rows)))
 
     def create_schema_from_parquet(self, name: str, path: str) -> Table:
         return self.create_from_parquet(name, path, load=False)
 
-    def register(self, name: str, df: DataFrame) -> Table:
-        """A table of any DataFrame's rows, with the positions they have."""
+    def register(self, name: str, df: DataFrame, ordered: DataFrame | None = None) -> Table:
+        """A table of any DataFrame's rows, with the positions they have; ``ordered``: the same rows with positions."""
         columns = tuple(ColumnDef(f.name, logical_type(f.dataType), f.nullable) for f in df.schema.fields if f.name not in POSITION)
-        return self._add(Table(name, columns, placed(df), 1))
+        return self._add(Table(name, columns, placed(df if ordered is None else ordered), hidden(df), 1))
 
-    def _appended(self, name: str, more: DataFrame) -> int:
+    def _appended(self, name: str, more: DataFrame, plain: DataFrame | None = None) -> int:
         """Add rows, columns by place; all of them or, if a NOT NULL column would get a null, none."""
         table = self.get(name)
         names = visible(more)
         if len(names) != len(table.columns):
             raise SchemaMismatch(f"{len(names)} columns for the {len(table.columns)} of {name!r}")
         kinds = {f.name: f.dataType for f in more.schema.fields}
-        made = more.select(*[_typed(n, c, kinds[n]) for n, c in zip(names, table.columns, strict=True)], *POSITION)
-        counts = made.agg(*column_counts([c.name for c in table.columns])).first()
+        typed = [_typed(n, c, kinds[n]) for n, c in zip(names, table.columns, strict=True)]
+        made, bare = more.select(*typed, *POSITION), (more if plain is None else plain).select(*typed)
+        counts = bare.agg(*column_counts([c.name for c in table.columns])).first()
         for i, c in enumerate(table.columns):
             if not c.nullable and counts[i + 1]:
                 raise SchemaMismatch(f"{counts[i + 1]} nulls for column {c.name!r}, which has none")
         with self._lock:
             now = self._tables[name]
             rows = made.withColumn("__load", F.lit(now.loads))
-            self._tables[name] = replace(now, rows=now.rows.union(rows) if now.loads else rows, loads=now.loads + 1)
+            both = (now.rows.union(rows), now.plain.union(bare)) if now.loads else (rows, bare)
+            self._tables[name] = replace(now, rows=both[0], plain=both[1], loads=now.loads + 1)
         return counts["rows"]
 
     def load_parquet(self, name: str, path: str, row_limit: int = -1, batch_size: int | None = None) -> int:
@@ -113,7 +123,8 @@ class Catalog:
         ``batch_size`` is taken and has no effect: Spark sizes its own batches.
         """
         parquet.check_fits(self.spark, path, list(self.get(name).columns))
-        return self._appended(name, first_rows(scan(self.spark, path), row_limit))
+        rows = first_rows(scan(self.spark, path), row_limit)
+        return self._appended(name, rows, None if row_limit > 0 else self.spark.read.parquet(path))
 
     def append(self, name: str, rows: list[tuple]) -> int:
         """Append rows given by value, columns in order."""
@@ -144,7 +155,7 @@ class Catalog:
 
     def rows(self, name: str) -> DataFrame:
         """The table's rows without their positions."""
-        return hidden(self.get(name).rows)
+        return self.get(name).plain
 
     def describe(self, name: str | None = None) -> DataFrame:
         """(table, position, name, type, nullable) of one table's columns or of all tables'."""
@@ -160,7 +171,7 @@ class Catalog:
     def stats(self, name: str) -> DataFrame:
         """(name, type, nullable, row_count, null_count, non_null_count) of each column, in one pass."""
         table = self.get(name)
-        counted = table.rows.agg(*column_counts([c.name for c in table.columns]))
+        counted = table.plain.agg(*column_counts([c.name for c in table.columns]))
         each = [
             F.struct(
                 F.lit(c.name).alias("name"), F.lit(c.type).alias("type"), F.lit(c.nullable).alias("nullable"), F.col("rows").alias("row_count"),

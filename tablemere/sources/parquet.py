@@ -53,8 +53,9 @@ def inspect(spark: SparkSession, path: str) -> DataFrame:
 
 def inferred(spark: SparkSession, path: str) -> list[ColumnDef]:
     """Columns declared from a footer: Spark's types, the footer's nullability; nested fields are refused."""
-    schema, out = {f.name: f.dataType for f in spark.read.parquet(path).schema.fields}, []
-    for f in footer(spark, path):
+    fields, out = footer(spark, path), []
+    schema = {f.name: f.dataType for f in spark.read.parquet(path).schema.fields}
+    for f in fields:
         if f.physical is None or f.repetition == "REPEATED":
             raise UnsupportedType(f"field {f.name!r} is nested")
         out.append(ColumnDef(f.name, logical_type(schema[f.name]), f.repetition == "OPTIONAL"))
