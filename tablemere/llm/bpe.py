@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -18,8 +18,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tablemere.llm.automaton import SuffixAutomaton
 from tablemere.llm.common import map_texts
 
-#: Pieces of each of the two generations of a worker's cache, and pair tests kept.
-CACHE_PIECES, CACHE_PAIRS = 300_000, 1_000_000
+#: Pieces of each of the two generations of a worker's cache (about 220 bytes each), and pair tests kept.
+CACHE_PIECES, CACHE_PAIRS = 250_000, 300_000
 #: Fixed value: how byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEVER = 1 << 30
@@ -32,6 +32,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
 
 
+class _PieceCache(dict):
+    """What ``make`` says of each piece, for the last two generations of CACHE_PIECES."""
+
+    def __init__(self, make: Callable[[str], str]) -> None:
+        super().__init__()
+        self._make, self._old = make, {}
+
+    def __missing__(self, piece: str) -> str:
+        found = self._old.get(piece)
+        if found is None:
+            found = self._make(piece)
+        if len(self) >= CACHE_PIECES:
+            self._old = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
 class BpeModel:
     """Encoder and decoder of a tokenizers file with a ByteLevel pre-tokenizer and a BPE model."""
 
@@ -75,8 +93,8 @@ class BpeModel:
         self.whole = {self.token[i]: i for i in whole}
         self._split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._pieces = regex.compile(PIECES)
-        self._new: dict[str, tuple[str, str, bytes]] = {}
-        self._old: dict[str, tuple[str, str, bytes]] = {}
+        self._ids = _PieceCache(self._joined)
+        self._odd: dict[str, str] = {}  # pieces that decoding changes
 
     def _crossing(self, a: int, b: int) -> int:
         """Rank of the first merge across the border of tokens a and b; _NEVER if none.
@@ -156,43 +174,37 @@ class BpeModel:
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.token[i] for i in ids]).decode("utf-8", "replace")
 
-    def _piece(self, piece: str) -> tuple[str, str, bytes]:
-        """(ids joined by commas, their decoded text, ids as 32-bit integers) of a piece, kept for two generations."""
-        found = self._old.get(piece)
-        if found is None:
-            ids = self.encode_piece(piece.encode())
-            text = self.decode(ids)
-            found = (",".join(map(str, ids)), piece if text == piece else text, array("i", ids).tobytes())
-        if len(self._new) >= CACHE_PIECES:
-            self._old, self._new = self._new, {}
-        self._new[piece] = found
-        return found
+    def _joined(self, piece: str) -> str:
+        """A piece's ids, joined by commas."""
+        ids = self.encode_piece(piece.encode())
+        if (text := self.decode(ids)) != piece:
+            self._odd[piece] = text
+        return ",".join(map(str, ids))
+
+    def _plain(self, text: str) -> tuple[list[str], list[str]]:
+        pieces = self._pieces.findall(text)
+        ids = list(map(self._ids.__getitem__, pieces))
+        return ids, [self._odd.get(p, p) for p in pieces] if self._odd else pieces
 
-    def _plain(self, text: str) -> list[tuple[str, str, bytes]]:
-        new, piece = self._new, self._piece
-        out = []
-        for p in self._pieces.findall(text):
-            found = new.get(p)
-            if found is None:
-                found = piece(p)
-                new = self._new
-            out.append(found)
-        return out
-
-    def parts(self, text: str) -> list[tuple[str, str, bytes]]:
-        """The pieces of a whole text, as ``_piece`` has them; special tokens' strings are those tokens."""
+    def run(self, text: str) -> tuple[str, str]:
+        """(ids joined by commas, their decoded text) of a whole text; special tokens' strings are those tokens."""
         if self._split is None or not self._split.search(text):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self._split.finditer(text):
-            out += self._plain(text[at : m.start()])
-            token = self.special[m[0]]
-            out.append((str(token), self.decode([token]), array("i", [token]).tobytes()))
-            at = m.end()
-        return out + self._plain(text[at:])
+            ids, back = self._plain(text)
+            return ",".join(ids), "".join(back)
+        ids, back, at = [], [], 0
+        for m in [*self._split.finditer(text), None]:
+            plain = self._plain(text[at : m.start() if m else len(text)])
+            ids += plain[0]
+            back += plain[1]
+            if m:
+                ids.append(str(self.special[m[0]]))
+                back.append(self.decode([self.special[m[0]]]))
+                at = m.end()
+        return ",".join(ids), "".join(back)
 
     def encode(self, text: str) -> list[int]:
-        return array("i", b"".join([p[2] for p in self.parts(text)])).tolist()
+        ids = self.run(text)[0]
+        return list(map(int, ids.split(","))) if ids else []
 
 
 _models: dict[str, BpeModel] = {}
@@ -223,13 +235,13 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     source = Path(tokenizer).read_bytes()
 
     def run(data: np.ndarray, offs: np.ndarray) -> dict[str, object]:
-        model, raw, sizes, intact = model_of(source), [], [0], []
+        model, found, sizes, intact = model_of(source), [], [0], []
         for t in _texts(data, offs):
-            parts = model.parts(t)
-            raw.append(b"".join([p[2] for p in parts]))
-            sizes.append(len(raw[-1]) // 4)
-            intact.append("".join([p[1] for p in parts]) == t)
-        flat = pa.array(np.frombuffer(b"".join(raw), np.int32))
+            ids, back = model.run(t)
+            found.append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
+            sizes.append(len(found[-1]))
+            intact.append(back == t)
+        flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))
         return {"ids": pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), flat), "intact": np.array(intact, bool)}
 
     return map_texts(docs, run, [doc_id], text, "ids array<int>, intact boolean")
@@ -260,8 +272,7 @@ def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     def run(data: np.ndarray, offs: np.ndarray) -> dict[str, object]:
         model, counts, ids_sha, text_sha = model_of(source), [], [], []
         for t in _texts(data, offs):
-            parts = model.parts(t)
-            ids, back = ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])
+            ids, back = model.run(t)
             counts.append(ids.count(",") + 1 if ids else 0)
             ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
             text_sha.append(hashlib.sha256(back.encode()).hexdigest())
