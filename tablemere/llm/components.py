@@ -16,16 +16,24 @@ def _stamp(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(src, m): each node's least neighbour.
+
+    A table of its own, so that the join with the edges reads two plain shuffles:
+    then AQE can split a node with very many edges, or broadcast a small table.
+    """
+    return checkpoint(edges.groupBy("src").agg(F.min("dst").alias("m")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-    return both.join(least.hint("merge"), "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    return both.join(_least(both), "src").where("dst > src").select(F.col("dst").alias("src"), F.least("src", "m").alias("dst"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy("src").agg(F.min("dst").alias("m"))
-    moved = down.join(least.hint("merge"), "src")
+    least = _least(down)
+    moved = down.join(least, "src")
     return moved.where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(
         least.select("src", F.col("m").alias("dst"))
     )
@@ -48,7 +56,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     stamp = _stamp(now)
     while stamp[0]:
-        now = checkpoint(_small_star(_large_star(now).distinct()).distinct())
+        now = checkpoint(_small_star(checkpoint(_large_star(now).distinct())).distinct())
         after = _stamp(now)
         if after == stamp:
             break

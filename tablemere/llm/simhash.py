@@ -207,7 +207,7 @@ def links(classes: DataFrame, bits: int = 3, tile_rows: int = TILE_ROWS) -> Data
     )
     cuts = checkpoint(
         sizes.where(f"s > {tile_rows} or p > 9 * {tile_rows}").select(
-            "half", "cell", F.ceil(F.col("s") / tile_rows).alias("ks"), F.ceil(F.col("p") / tile_rows).alias("kp")
+            "half", "cell", *[F.greatest(F.lit(1), F.ceil(F.col(n) / tile_rows)).cast("long").alias(f"k{n}") for n in ("s", "p")]
         )
     )
     if large := cuts.count():
@@ -252,8 +252,8 @@ def near_duplicates(
     joined = classes.join(parts, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
-    least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = checkpoint(joined.join(least.hint("merge"), "component").select("fp", "component_id"))
+    least = checkpoint(joined.groupBy("component").agg(F.min("first").alias("component_id")))
+    named = checkpoint(joined.join(least, "component").select("fp", "component_id"))
     return marked.join(named, "fp").select(
         doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -270,9 +270,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
         F.count(F.lit(1)).alias("n"), F.bool_or(F.col("_id") == F.col("component_id")).alias("stays")
     )
     each = checkpoint(each.where("n > 1 or not stays"))  # most documents are neither repeated nor dropped
-    own = F.col(doc_id) == F.col("_id")
-    out = docs.join(each.select("_id"), own, "left_anti")
-    again = each.where("n > 1 and stays").select("_id")
+    drop, again = each.select("_id"), each.where("n > 1 and stays").select("_id")
+    out = docs.join(drop, docs[doc_id] == drop["_id"], "left_anti")
     if again.isEmpty():
         return out
-    return out.union(docs.join(again, own, "left_semi").dropDuplicates([doc_id]))
+    return out.union(docs.join(again, docs[doc_id] == again["_id"], "left_semi").dropDuplicates([doc_id]))

@@ -134,10 +134,10 @@ def judge(
     ends = edges.select(F.col("a").alias("node"), F.col("a_url").alias("u")).union(edges.select("b", "b_url")).distinct()
     ruled = with_rules(ends.select("node", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path")), rules)
     groups = connected_components(edges, "a", "b")
-    decided = (
+    decided = checkpoint(
         ruled.where("action is not null").join(groups, "node").groupBy("component").agg(F.min("action").alias("passed"))
     )  # allow sorts before block
-    passed = groups.join(decided.hint("merge"), "component").select("node", "passed")
+    passed = groups.join(decided, "component").select("node", "passed")
     return placed.join(checkpoint(passed), "node", "left").select(
         page_id, "host", "path", "rule", F.coalesce("action", "passed", F.lit("allow")).alias("verdict")
     )
