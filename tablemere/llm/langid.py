@@ -121,13 +121,14 @@ def build(texts: dict[str, list[str]], limit: int = TRAIN_BYTES) -> LanguageMode
         data = np.frombuffer(raw.encode()[:limit], np.uint8)
         signs, _ = coded(data, np.array([0, len(data)]))
         sam = SuffixAutomaton([bytes(signs.astype(np.uint8))])
-        n = len(sam.length)
-        to = np.full((n, 1 << _SHIFT), -1, np.int64)
+        n = len(sam.length) + 1
+        to = np.full((n, 1 << _SHIFT), -1, np.int64)  # the last state is that of a sign which the text lacks
         keys = np.fromiter(sam.next.keys(), np.int64, len(sam.next))
         to[keys >> 8, keys & 255] = np.fromiter(sam.next.values(), np.int64, len(sam.next))
         ends = to < 0
-        fresh = np.where(to[0] < 0, 0, to[0])  # a new phrase begins with the sign that ended the last
-        to = np.where(ends, fresh[None, :], to)
+        ends[0] = False  # nothing is open at the root, where a segment begins
+        fresh = np.where(to[0] < 0, n - 1, to[0])  # a new phrase begins with the sign that ended the last
+        to = np.where(to < 0, fresh[None, :], to)
         tables.append(((to + base) << _SHIFT << 1 | ends).astype(np.int32).ravel())
         roots.append(base << _SHIFT)
         base += n
