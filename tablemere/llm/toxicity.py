@@ -15,11 +15,15 @@ from tablemere.llm.common import bounded_sample, checkpoint, map_texts, text_buf
 #: Bound of the training sample: labelled documents of either label, and the longest that are taken.
 TRAIN_ROWS, TRAIN_CHARS = 2000, 20_000
 LANDMARKS, ROUNDS, NEGATIVES = 384, 3, 4000
-#: A word is toxic itself if there is at most this chance that any word is as often in toxic texts only; copies with a letter put in.
+#: A training text with more than this part of its runs of five words seen in others is a copy, and counts once.
+COPY = 0.3
+#: A word is toxic itself if there is at most this chance that any word is in toxic texts so often; copies with a letter put in.
 CHANCE, INSERTED = 0.01, 4
 #: Gaps (a, b) between the three signs of a subsequence, and the decay of each sign of span beyond three.
 GAPS = ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1))
 DECAY = 0.6
+#: Words of a text that its score looks at, and the least margin told apart.
+TOP, FLOOR = 3, -3.0
 _DROP = 255
 _SIZE = 64**3
 
@@ -129,28 +133,36 @@ def _joined(words_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class ToxicModel:
-    """The machine folded into one weight per subsequence, with the logistic curve of its margin.
+    """The machine folded into one weight per subsequence, with the logistic curve of a text's margins.
 
     The decision function is a sum over landmarks of kernel values, each a
     product of feature vectors: so it is a product with one vector of weights.
+    A text's probability is the larger of two curves': one of its most toxic
+    word's margin, and one of the margins of its TOP most toxic words. The first
+    catches a single plain insult, the second several doubtful ones.
     """
 
     weights: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    slopes: np.ndarray  # (2, TOP)
+    shifts: np.ndarray  # (2,)
 
     def margins(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Of each whole text the margin of its most toxic word; the bias alone if it has none."""
+        """Of each whole text the margins of its TOP most toxic words, FLOOR for those it lacks or that are below."""
         signs, borders, owner = words(data, offs)
-        out = np.full(len(offs) - 1, self.bias)
         own = sums(signs, borders, self.weights) + self.bias
-        best = np.full(len(out), -np.inf)
-        np.maximum.at(best, owner, own)
-        return np.where(np.isfinite(best), best, out)
+        out = np.full((len(offs) - 1, TOP), FLOOR)
+        for k in range(TOP if len(own) else 0):
+            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            best = np.maximum.reduceat(own, starts)
+            out[owner[starts], k] = np.maximum(best, FLOOR)
+            hits = np.flatnonzero(own == np.repeat(best, np.diff(np.append(starts, len(own)))))
+            own[hits[np.concatenate(([True], owner[hits[1:]] != owner[hits[:-1]]))]] = -np.inf
+        return out
 
     def probability(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(data, offs) + self.shift, -500, 500)))
+        odds = (self.margins(data, offs) @ self.slopes.T + self.shifts).max(axis=1)
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.02) -> np.ndarray:
@@ -166,61 +178,85 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.02
     return w
 
 
-def _logistic(m: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[float, float]:
-    x, w = np.stack((m, np.ones(len(m))), axis=1), np.zeros(2)
-    for _ in range(50):
+def _logistic(m: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
+    x, w = np.hstack((m, np.ones((len(m), 1)))), np.zeros(m.shape[1] + 1)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (cost * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, x.T @ (cost * (p - y)) + 1e-3 * w)
+        hess = (x * (cost * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        step = np.linalg.solve(hess, x.T @ (cost * (p - y)) + 1e-2 * w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w[:-1], float(w[-1])
+
+
+def _significant(toxic: Counter, clean: Counter, share: float) -> set[bytes]:
+    """Words held by more toxic texts than chance has it.
+
+    By Chernoff's bound at most CHANCE of any word, were ``share`` of all words'
+    texts toxic; words below three times that share don't count.
+    """
+    need, out = np.log(max(2, len(toxic)) / CHANCE), set()
+    for w, n in toxic.items():
+        total = n + clean[w]
+        part = n / total
+        if part >= min(3 * share, (1 + share) / 2):
+            rest = (1 - part) * np.log((1 - part) / (1 - share)) if part < 1 else 0.0
+            if total * (part * np.log(part / share) + rest) >= need:
+                out.add(w)
+    return out
 
 
 def train(texts: list[str], labels: np.ndarray, share: float = 0.5, seed: int = 7) -> ToxicModel:
     """Learn from labelled texts; ``share`` is that of label 1 among all labelled documents.
 
     A toxic text says that some word of some sentence in it is toxic, not which.
-    So the words that carry the label are those that many toxic texts and no
-    other ones hold, and one more of each text that is found in rounds: at first by how much
+    So the words that carry the label are those that far more toxic texts hold
+    than others, and one more of each text that is found in rounds: at first by how much
     more often their subsequences occur in toxic texts, then by the machine
     learned from the last round's. Each also counts with a letter put in. Words of the other texts are not toxic, those
     that score highest are learned from first. A quarter of the texts is kept
     apart for the curve from margin to probability.
     """
     y = np.asarray(labels, np.int64)
-    flat = ToxicModel(np.zeros(_SIZE, np.float32), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+    flat = ToxicModel(np.zeros(_SIZE, np.float32), 0.0, np.zeros((2, TOP)), np.full(2, np.log((share + 1e-6) / (1 - share + 1e-6))))
     if not len(y) or y.min() == y.max():
         return flat
     rng = np.random.default_rng(seed)
     own: list[list[bytes]] = []
-    before: list[set[tuple[bytes, bytes]]] = []
+    seen: set[int] = set()
+    single = np.ones(len(y), bool)
     for t in texts:
         signs, borders, _ = words(*text_buffer(pa.array([t], pa.string())))
         raw = signs.astype(np.uint8).tobytes()
         run = [raw[i + 1 : j] for i, j in zip(borders[:-1], borders[1:], strict=True)]
         own.append(sorted({w for w in run if len(w) > 1}))
-        before.append({(w, v) for v, w in zip([b"", *run], run, strict=False) if len(w) > 1})
-    kept_apart = rng.random(len(y)) < 0.25
-    bad = [d for d in range(len(y)) if y[d] == 1 and not kept_apart[d] and own[d]]
+        grams = {hash(tuple(run[k : k + 5])) for k in range(max(1, len(run) - 4))}
+        single[len(own) - 1] = len(grams & seen) <= COPY * len(grams)
+        seen |= grams
+    kept_apart = (rng.random(len(y)) < 0.25) & single
+    bad = [d for d in range(len(y)) if y[d] == 1 and single[d] and not kept_apart[d] and own[d]]
     good = [d for d in range(len(y)) if y[d] == 0 and not kept_apart[d]]
-    clean = sorted({w for d in good for w in own[d]})
+    texts_with = [Counter(w for d in ds if single[d] for w in own[d]) for ds in (bad, good)]
+    held = [sum(c.values()) for c in texts_with]
+    often = _significant(*texts_with, held[0] / max(1, sum(held)) * 0.999)
+    clean = sorted({w for d in good for w in own[d]} - often)
     if not bad or not clean:
         return flat
     clean_set, clean_stream = set(clean), _joined(clean)
-    seen = np.zeros((2, _SIZE))
+    found = np.zeros((2, _SIZE))
     for d in [*bad, *good]:
-        if own[d]:
-            seen[y[d], np.unique(np.concatenate([c for _, _, c in _spans(*_joined(own[d]))]))] += 1
-    odds = np.log((seen[1] + 2) / (len(bad) + 4)) - np.log((seen[0] + 2) / (len(good) + 4))
+        if own[d] and single[d]:
+            found[y[d], np.unique(np.concatenate([c for _, _, c in _spans(*_joined(own[d]))]))] += 1
+    odds = np.log((found[1] + 2) / (len(bad) + 4)) - np.log((found[0] + 2) / (single[good].sum() + 4))
     weights, bias = np.maximum(odds, -3).astype(np.float32), 0.0
     streams = {d: _joined(own[d]) for d in bad}
-    # copies of a text repeat a word after the same word: places count once for each word before
-    places = Counter(w for w, _ in {pair for d in bad for pair in before[d]})
-    total = [sum(map(len, (own[d] for d in ds))) for ds in (bad, good)]
-    least = np.log(CHANCE / len(places)) / np.log(total[0] / sum(total))
-    often = [w for w, n in places.items() if n >= least and w not in clean_set]
+    streams = {d: _joined(own[d]) for d in bad}
+    texts_with = Counter(w for d in bad for w in own[d])
+    held = [sum(len(own[d]) for d in ds if single[d]) for ds in (bad, good)]
+    least = np.log(CHANCE / len(texts_with)) / np.log(held[0] / max(1, sum(held)) * 0.999)
+    often = [w for w, n in texts_with.items() if n >= least and w not in clean_set]
+    streams = {d: _joined(own[d]) for d in bad}
     for _ in range(ROUNDS):
         witness = [own[d][int(sums(*streams[d], weights).argmax())] for d in bad]
         pos = sorted({*often, *(w for w in witness if w not in clean_set)} or {*witness})
@@ -241,13 +277,14 @@ def train(texts: list[str], labels: np.ndarray, share: float = 0.5, seed: int =
         for beta, (codes, amounts) in zip(root @ w[:-1], landmark, strict=True):
             weights[codes] += beta * amounts
         bias = float(w[-1])
-    model = ToxicModel(weights, bias, 1.0, 0.0)
+    model = ToxicModel(weights, bias, np.zeros((2, TOP)), np.zeros(2))
     apart = [d for d in range(len(y)) if kept_apart[d]] if 0 < y[kept_apart].sum() < kept_apart.sum() else list(range(len(y)))
     m = model.margins(*text_buffer(pa.array([texts[d] for d in apart], pa.string())))
     part = y[apart].mean()
     cost = np.where(y[apart] == 1, share / part, (1 - share) / (1 - part))
-    slope, shift = _logistic(m, y[apart], cost)
-    return ToxicModel(weights, bias, slope, shift)
+    (one, one_shift), (top, top_shift) = _logistic(m[:, :1], y[apart], cost), _logistic(m, y[apart], cost)
+    slopes = np.stack((np.pad(one, (0, TOP - 1)), top))
+    return ToxicModel(weights, bias, slopes, np.array([one_shift, top_shift]))
 
 
 def fit(
@@ -269,9 +306,9 @@ def fit(
 
 
 def score(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) of every whole text: the probability that its most toxic word makes it toxic.
+    """(doc_id, score) of every whole text: the probability that its most toxic words make it toxic.
 
-    Null texts count as empty; texts without a word get the bias's score;
+    Null texts count as empty; texts without a word get the score of FLOOR;
     repeated rows give repeated rows; an empty table gives none. Other columns
     are not read.
     """
