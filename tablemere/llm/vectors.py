@@ -166,9 +166,9 @@ def near_duplicates(
     parts = connected_components(found.where("kind = 1"), "a", "b").select(F.col("node").alias("cid"), "component")
     named = classes.select("cid", "v", "n", "first").join(counts, "cid", "left").join(parts, "cid", "left")
     named = named.withColumn("component", F.coalesce("component", "cid"))
-    firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    firsts = checkpoint(named.groupBy("component").agg(F.min("first").alias("component_id")))
     named = checkpoint(
-        named.join(firsts.hint("merge"), "component").select(
+        named.join(firsts, "component").select(
             "v", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), "component_id"
         )
     )
