@@ -429,6 +429,96 @@ def cluster_status(spark: SparkSession, d: str) -> DataFrame:
     return Engine(spark).cluster().groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+# conditions that nothing satisfies, and what only the reproduced semantics has
+
+
+@_query("SELECT p_partkey FROM part WHERE 1 = 0")
+def filter_null_literal(spark: SparkSession, d: str) -> DataFrame:
+    return _on(spark, d, _q("part", "p_partkey").where("p_size", "=", None))
+
+
+@_query("SELECT p_partkey FROM part WHERE 1 = 0")
+def lenient_literal(spark: SparkSession, d: str) -> DataFrame:
+    return _on(spark, d, _q("part", "p_partkey").where("p_size", "=", "25"), REFERENCE)
+
+
+@_query("SELECT p_partkey FROM part WHERE 1 = 0")
+def lenient_operator(spark: SparkSession, d: str) -> DataFrame:
+    return _on(spark, d, _q("part", "p_partkey").where("p_name", "<", "m"), REFERENCE)
+
+
+@_query("SELECT p_partkey FROM part WHERE 1 = 0")
+def like_bad_regex(spark: SparkSession, d: str) -> DataFrame:
+    return _on(spark, d, _q("part", "p_partkey").where("p_name", "LIKE", "("), REFERENCE)
+
+
+@_query("SELECT p_partkey FROM part WHERE p_size <= 25 AND p_retailprice > 1000")
+def nan_is_not_greater(spark: SparkSession, d: str) -> DataFrame:
+    value = F.when(F.col("p_size") > 25, F.lit(float("nan"))).otherwise(F.col("p_retailprice"))
+    return _on(spark, d, _q("part", "p_partkey").where("v", ">", 1000), REFERENCE, v=value)
+
+
+@_query(
+    "SELECT CAST(((SUM(CAST(o_custkey AS HUGEINT)*100000000000000) + 9223372036854775808) % 18446744073709551616 + 18446744073709551616) "
+    "% 18446744073709551616 - 9223372036854775808 AS BIGINT) AS s FROM orders"
+)
+def sum_int64_wrap(spark: SparkSession, d: str) -> DataFrame:
+    return _on(spark, d, QuerySpec("orders").aggregate("SUM", "v", "s"), REFERENCE, v=F.col("o_custkey") * 100_000_000_000_000)
+
+
+@_query("SELECT * FROM region WHERE 1 = 0")
+def lookup_unknown_column(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.catalog.create_from_parquet("region", f"{d}/region.parquet")
+    return engine.lookup("region", "no_such_column", "1")
+
+
+@_query('SELECT n_regionkey, COUNT(*) AS "COUNT(*)", MIN(n_name) AS "MIN(n_name)" FROM nation GROUP BY 1')
+def group_default_names(spark: SparkSession, d: str) -> DataFrame:
+    return _on(spark, d, QuerySpec("nation").group_by("n_regionkey").aggregate("COUNT", "*").aggregate("MIN", "n_name"))
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey >= 10 ORDER BY c_custkey DESC LIMIT 5 OFFSET 5")
+def json_page(spark: SparkSession, d: str) -> DataFrame:
+    request = {
+        "tableName": "customer", "columns": ["c_custkey", "c_name", "c_custkey"], "orderBy": "c_custkey", "limit": 5, "page": 2,
+        "conditions": [{"columnName": "c_nationkey", "operator": "GREATER_THAN_OR_EQUALS", "value": 10}],
+    }
+    return _on(spark, d, QuerySpec.from_json(request))
+
+
+@_query("SELECT p_partkey, p_brand FROM part WHERE p_name LIKE '%ring%' AND p_size <> 15 AND p_type IS NOT NULL ORDER BY p_partkey LIMIT 12")
+def sql_conditions(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.catalog.create_from_parquet("part", f"{d}/part.parquet")
+    return engine.sql("select p_partkey, p_brand from part where p_name like '%ring%' and p_size <> 15 and p_type is not null order by p_partkey limit 12")
+
+
+@_query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 99, 'NOWHERE', NULL")
+def append_rows(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.catalog.create_from_parquet("nation", f"{d}/nation.parquet")
+    engine.catalog.append("nation", [(99, "NOWHERE", None)])
+    return engine.query(_q("nation"))
+
+
+@_query("SELECT r_regionkey AS id, r_name AS label FROM region")
+def load_by_place(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.catalog.create("names", [("id", "INTEGER"), ("label", "STRING")])
+    engine.catalog.load_parquet("names", f"{d}/region.parquet")
+    return engine.query(_q("names"))
+
+
+@_query("SELECT epoch_us(o_orderdate) AS day, COUNT(*) AS c FROM orders WHERE o_custkey <= 20 GROUP BY 1")
+def load_timestamps_as_numbers(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    columns = [("o_orderkey", "LONG", True), ("o_custkey", "LONG", True), ("o_orderstatus", "STRING", True), ("o_totalprice", "DOUBLE", True), ("day", "LONG", True), ("o_orderpriority", "STRING", True)]
+    engine.catalog.create("orders", columns)
+    engine.catalog.load_parquet("orders", f"{d}/orders.parquet")
+    return engine.query(QuerySpec("orders").where("o_custkey", "<=", 20).group_by("day").aggregate("COUNT", "*", "c"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
