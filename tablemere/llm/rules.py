@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablemere.llm.common import let
+
 #: Rows of the sample on which the order of rules is estimated; the order never changes a verdict.
 SAMPLE_ROWS = 400
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -16,11 +18,6 @@ _SPACES = " \t\n\x0b\x0c\r"
 _WINDOW = 5
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once per row, whatever the optimizer inlines."""
-    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
-
-
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
     return let(

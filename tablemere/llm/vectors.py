@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemere.llm.common import bounded_sample, checkpoint
+from tablemere.llm.common import bounded_sample, checkpoint, let
 from tablemere.llm.components import connected_components
 from tablemere.llm.simhash import star_edges
 
@@ -190,14 +190,15 @@ def _links(classes: DataFrame, dims: int, least: float, tile_rows: int) -> DataF
     ranges = int(min(RANGES, max(1, -(-total // size))))
     borders = np.unique(np.quantile(x @ lead, np.linspace(0, 1, ranges + 1)[1:-1])) if ranges > 1 else np.zeros(0)
     axis = F.array(*[F.lit(float(c)) for c in lead])
-    wide = F.col("v").cast("array<double>")
-    dot = F.aggregate(F.zip_with(wide, axis, lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
-    largest = F.array_max(F.transform(wide, F.abs))
-    scaled = F.transform(wide, lambda c: c / largest)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, c: s + c * c)) * largest
-    place = dot / norm
-    # the number of borders below: a search in a sorted array, not a chain of comparisons
-    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in borders]).cast("array<double>"), lambda c: c < place)) if len(borders) else F.lit(0)
+    total_of = lambda a: F.aggregate(a, F.lit(0.0), lambda s, c: s + c)
+
+    def place(w: Column) -> Column:
+        """Leading component of the unit vector."""
+        dot = total_of(F.zip_with(w, axis, lambda a, b: a * b))
+        return let(F.array_max(F.transform(w, F.abs)), lambda m: dot / (F.sqrt(total_of(F.transform(w, lambda c: (c / m) * (c / m)))) * m))
+
+    edges = F.array(*[F.lit(float(c)) for c in borders]).cast("array<double>")
+    at = let(let(F.col("v").cast("array<double>"), place), lambda p: F.size(F.filter(edges, lambda c: c < p)))
     ranged = checkpoint(classes.select("cid", "n", "v", at.cast("long").alias("r")))
     sizes = {r["r"]: r["n"] for r in ranged.groupBy("r").agg(F.count(F.lit(1)).alias("n")).collect()}  # RANGES at most
     cuts = {r: -(-n // size) for r, n in sizes.items()}
