@@ -34,8 +34,11 @@ class Engine:
         try:
             spec = parsed(text)
         except InvalidQuery:
-            # a relation for each table, named in the text itself; no temp view is left behind
+            # a view for each table while the text is analysed; the session's own views are left alone
             named = {n: self.catalog.rows(n) for n in self.catalog.names() if n.isidentifier()}
+            own = {t.name.lower() for t in self.spark.catalog.listTables() if t.isTemporary}
+            if taken := [n for n in named if n.lower() in own]:
+                raise InvalidQuery(f"{taken[0]!r} is also a temporary view of the session") from None
             for n, df in named.items():
                 df.createOrReplaceTempView(n)
             try:

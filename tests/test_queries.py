@@ -67,6 +67,13 @@ def test_spark_sql_beyond_the_grammar(engine):
     got = engine.sql("SELECT count(*) AS n FROM customer c JOIN lineitem l ON c.c_custkey = l.l_suppkey WHERE c.c_custkey = 1 OR 1 = 0")
     assert got.first()["n"] > 0
     assert not engine.spark.catalog.tableExists("customer")
+    engine.spark.range(3).createOrReplaceTempView("customer")
+    try:
+        with pytest.raises(InvalidQuery):
+            engine.sql("SELECT count(*) FROM customer, lineitem")
+        assert engine.spark.table("customer").count() == 3
+    finally:
+        engine.spark.catalog.dropTempView("customer")
 
 
 def test_projection_and_order(engine):
