@@ -75,4 +75,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": rules.ORACLE_SQL, "op4_url_filters": urls.ORACLE_SQL}
+    return {"op3_quality_rules": rules.ORACLE_SQL, "op4_url_filters": urls.ORACLE_SQL, "op9_vectors": vectors.ORACLE_SQL}

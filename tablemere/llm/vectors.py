@@ -226,3 +226,15 @@ def _links(classes: DataFrame, dims: int, least: float, tile_rows: int) -> DataF
     )
     ordered = spread.repartition("pair").sortWithinPartitions("pair", "side")
     return ordered.mapInArrow(_compare(axes, least), _OUT)
+
+
+#: For tables whose vectors are all usable and have ids of their own, as the generated ones.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+c AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT l.x, c.r FROM l JOIN c ON l.y = c.vec_id),
+m AS (SELECT vec_id, min(r) AS component_id FROM c GROUP BY vec_id),
+n AS (SELECT x, count(*) AS k FROM l GROUP BY x)
+SELECT m.vec_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_links, m.component_id, m.vec_id = m.component_id AS kept
+FROM m LEFT JOIN n ON m.vec_id = n.x
+"""
