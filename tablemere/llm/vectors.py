@@ -19,7 +19,8 @@ FIT_ROWS = 20_000
 TILE_ROWS, TILES, RANGES = 8192, 16, 4096
 #: Leading dimensions of the first pass and of each further one.
 LEAD, STEP = 16, 16
-_BLOCK = 1024
+#: Rows of a block of a tile, and pairs that go on at once.
+_BLOCK, _PAIRS = 1024, 1 << 18
 _SLACK = 1e-4  # above the rounding of single precision in the bounds; the last word is in double precision
 
 
@@ -52,26 +53,22 @@ def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, least: float) ->
     product in double precision.
     """
     ra, rb, dims = a @ axes, b @ axes, axes.shape[1]
-    lead = min(LEAD, dims)
-    tail = lambda r, k: np.sqrt((r[:, k:] ** 2).sum(axis=1))
-    head = lambda r: np.hstack((r[:, :lead], tail(r, lead)[:, None])).astype(np.float32)
-    ha, hb = head(ra), head(rb)
+    steps = [*range(min(LEAD, dims), dims, STEP), dims]
+    tails = [[np.sqrt((r[:, k:] ** 2).sum(axis=1)) for k in steps] for r in (ra, rb)]
+    ha, hb = (np.hstack((r[:, : steps[0]], t[0][:, None])).astype(np.float32) for r, t in zip((ra, rb), tails, strict=True))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(a), _BLOCK):
         i, j = np.nonzero(ha[at : at + _BLOCK] @ hb.T >= least - _SLACK)
         i += at
-        for lot in range(0, len(i), 1 << 18):
-            x, y = i[lot : lot + (1 << 18)], j[lot : lot + (1 << 18)]
-            product = np.einsum("ij,ij->i", ra[x, :lead], rb[y, :lead])
-            for k in range(lead, dims, STEP):
-                product += np.einsum("ij,ij->i", ra[x, k : k + STEP], rb[y, k : k + STEP])
-                live = product + tail(ra[:, :], k + STEP)[x] * tail(rb, k + STEP)[y] >= least - _SLACK if k + STEP < dims else product >= least - _SLACK
+        for lot in range(0, len(i), _PAIRS):
+            x, y = i[lot : lot + _PAIRS], j[lot : lot + _PAIRS]
+            product = np.einsum("ij,ij->i", ra[x, : steps[0]], rb[y, : steps[0]])
+            for s in range(1, len(steps)):
+                product += np.einsum("ij,ij->i", ra[x, steps[s - 1] : steps[s]], rb[y, steps[s - 1] : steps[s]])
+                live = product + tails[0][s][x] * tails[1][s][y] >= least - _SLACK
                 x, y, product = x[live], y[live], product[live]
-                if not len(x):
-                    break
-            if len(x):
-                true = np.einsum("ij,ij->i", a[x], b[y]) >= least
-                found.append((x[true], y[true]))
+            true = np.einsum("ij,ij->i", a[x], b[y]) >= least
+            found.append((x[true], y[true]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
