@@ -81,6 +81,7 @@ class BpeModel:
         ids = sorted(vocab.values())
         self.id_of = {self.token[i]: i for i in ids}
         whole = {i for i in ids if self._reached(i)}
+        BpeModel._reached.cache_clear()
         self.sam = SuffixAutomaton([self.token[i] for i in ids])
         self.ends = array("i", [-1]) * len(self.sam.length)
         for i, s in zip(ids, self.sam.ends, strict=True):

@@ -15,6 +15,8 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Text bytes that a Python worker handles at once; bounds its temporary arrays.
 SLICE_BYTES = 4 << 20
+#: Most rows of whole texts that Spark hands to a worker at once; bounds the buffers on either side.
+BATCH_ROWS = 2000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -96,6 +98,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             at = to
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def map_texts(
     df: DataFrame, fn: Callable[..., dict[str, object]], keep: list[str], text: str, added: str, nulls: bool = False
 ) -> DataFrame:
@@ -104,6 +113,7 @@ def map_texts(
     ``added`` names fn's arrays, in its order, and their types. With ``nulls``
     fn gets a third argument: whether each text is null.
     """
+    _bound_batches(df.sparkSession)
     fields = [df.schema[k] for k in keep]
     schema = StructType([StructField(f"k{i}", f.dataType, True) for i, f in enumerate(fields)] + _parse_datatype_string(added).fields)
 
