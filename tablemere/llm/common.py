@@ -148,5 +148,7 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFr
     place, total = F.xxhash64(F.lit(seed), F.col(key)), df.count()
     wanted = 2 * rows + 100  # the hundred is for samples of a few rows
     if total > 2 * wanted:
-        df = df.where(place < F.lit((wanted << 64) // total - (1 << 63)))
+        low = df.where(place < F.lit((wanted << 64) // total - (1 << 63)))
+        if low.count() >= rows:  # not where a few keys have most rows
+            df = low
     return df.orderBy(place, F.col(key)).limit(rows)
