@@ -17,8 +17,8 @@ TRAIN_ROWS, TRAIN_CHARS = 2000, 20_000
 LANDMARKS, ROUNDS, NEGATIVES = 384, 3, 4000
 #: A training text with more than this part of its runs of five words seen in others is a copy, and counts once.
 COPY = 0.3
-#: A word is toxic itself if there is at most this chance that any word is in toxic texts so often; copies with a letter put in.
-CHANCE, INSERTED = 0.01, 4
+#: A word is toxic itself if there is at most this chance that any word is in toxic texts so often; copies with a letter put in, and their weight.
+CHANCE, INSERTED, INSERTED_COST = 0.01, 4, 0.25
 #: Gaps (a, b) between the three signs of a subsequence, and the decay of each sign of span beyond three.
 GAPS = ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1))
 DECAY = 0.6
@@ -260,11 +260,12 @@ def train(texts: list[str], labels: np.ndarray, share: float = 0.5, seed: int =
     for _ in range(ROUNDS):
         witness = [own[d][int(sums(*streams[d], weights).argmax())] for d in bad]
         pos = sorted({*often, *(w for w in witness if w not in clean_set)} or {*witness})
-        pos += [w for k in range(INSERTED) for w in _inserted(pos, rng) if w not in clean_set]
+        plain = len(pos)
+        pos += [w for _ in range(INSERTED) for w in _inserted(pos[:plain], rng) if w not in clean_set]
         ranked = np.argsort(-sums(*clean_stream, weights))
         hard = [clean[k] for k in ranked[: NEGATIVES // 2]]
         neg = sorted({*hard, *(clean[k] for k in rng.choice(len(clean), min(len(clean), NEGATIVES // 2), replace=False))})
-        marks = [pos[k] for k in rng.permutation(len(pos))[: LANDMARKS // 2]]
+        marks = [pos[k] for k in rng.permutation(plain)[: LANDMARKS // 2]]
         marks += hard[: LANDMARKS // 4] + [neg[k] for k in rng.permutation(len(neg))[: LANDMARKS - len(marks) - LANDMARKS // 4]]
         landmark = [_features(w) for w in marks]
         values, axes = np.linalg.eigh(_kernel(marks, landmark))
@@ -272,7 +273,7 @@ def train(texts: list[str], labels: np.ndarray, share: float = 0.5, seed: int =
         root = axes[:, live] / np.sqrt(values[live])  # the Nystroem map is kernel values times this
         x = np.hstack((_kernel([*pos, *neg], landmark) @ root, np.ones((len(pos) + len(neg), 1))))
         side = np.repeat([1.0, -1.0], [len(pos), len(neg)])
-        w = _machine(x, side, np.ones(len(side)))
+        w = _machine(x, side, np.repeat([1.0, INSERTED_COST, 1.0], [plain, len(pos) - plain, len(neg)]))
         weights = np.zeros(_SIZE, np.float32)
         for beta, (codes, amounts) in zip(root @ w[:-1], landmark, strict=True):
             weights[codes] += beta * amounts
