@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tablemere.llm.automaton import SuffixAutomaton
-from tablemere.llm.common import map_texts
+from tablemere.llm.common import map_texts, prepare_workers
 
 #: Pieces of each of the two generations of a worker's cache (about 220 bytes each), and pair tests kept.
 CACHE_PIECES, CACHE_PAIRS = 250_000, 300_000
@@ -259,6 +259,7 @@ def decode(encoded: DataFrame, tokenizer: str, doc_id: str = "doc_id", ids: str
             texts = [None if x is None else model.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema.names)
 
+    prepare_workers(encoded.sparkSession)
     return encoded.select(doc_id, ids).mapInArrow(run, schema)
 
 

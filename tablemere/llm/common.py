@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import os
+import sys
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +22,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 SLICE_BYTES = 4 << 20
 #: Most rows of whole texts that Spark hands to a worker at once; bounds the buffers on either side.
 BATCH_ROWS = 2000
+_shipped: set[str] = set()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -98,11 +104,39 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             at = to
 
 
-def _bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS; a smaller setting stays."""
+def _importable(spark: SparkSession, root: Path) -> bool:
+    """Whether Python workers find this package by themselves: by PYTHONPATH, by installation or, run locally, by folder."""
+    if str(root) in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
+        return True
+    if root.is_relative_to(sys.prefix):
+        return True
+    return spark.sparkContext.master.startswith("local[") and Path.cwd() == root
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """What operators with Python code need of a session, once for each.
+
+    Lowers Arrow batches to BATCH_ROWS (a smaller setting stays). Where workers
+    would not find this package, its sources go out with Spark, by the shared
+    folder.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
+    if app in _shipped or _importable(spark, root):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted((root / "tablemere").rglob("*.py")):
+            z.write(source, source.relative_to(root))
+    uri = f"{shared_folder(spark)}/tablemere-{uuid.uuid4().hex}.zip"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(packed.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(uri)
+    _shipped.add(app)
 
 
 def map_texts(
@@ -113,7 +147,7 @@ def map_texts(
     ``added`` names fn's arrays, in its order, and their types. With ``nulls``
     fn gets a third argument: whether each text is null.
     """
-    _bound_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
     fields = [df.schema[k] for k in keep]
     schema = StructType([StructField(f"k{i}", f.dataType, True) for i, f in enumerate(fields)] + _parse_datatype_string(added).fields)
 

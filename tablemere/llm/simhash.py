@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemere.llm.common import checkpoint, map_texts
+from tablemere.llm.common import checkpoint, map_texts, prepare_workers
 from tablemere.llm.components import connected_components
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -229,6 +229,7 @@ def links(classes: DataFrame, bits: int = 3, tile_rows: int = TILE_ROWS) -> Data
     else:
         tiled = rows.withColumn("tile", F.lit(0).cast("long"))
     tiled = tiled.select(F.xxhash64("half", "cell", "tile").alias("key"), "probe", "fp")
+    prepare_workers(classes.sparkSession)
     ordered = tiled.repartition("key").sortWithinPartitions("key", "probe")
     return ordered.mapInArrow(_compare(bits), "a long, b long")
 

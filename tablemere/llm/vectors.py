@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemere.llm.common import bounded_sample, checkpoint, let
+from tablemere.llm.common import bounded_sample, checkpoint, let, prepare_workers
 from tablemere.llm.components import connected_components
 from tablemere.llm.simhash import star_edges
 
@@ -221,6 +221,7 @@ def _links(classes: DataFrame, dims: int, least: float, tile_rows: int) -> DataF
         (F.least("t", "u") * F.lit(tiles) + F.greatest("t", "u")).alias("pair"),
         F.when(F.col("t") == F.col("u"), 2).when(F.col("t") < F.col("u"), 0).otherwise(1).alias("side"), "cid", "n", "v",
     )
+    prepare_workers(spark)
     ordered = spread.repartition("pair").sortWithinPartitions("pair", "side")
     return ordered.mapInArrow(_compare(axes, least), _OUT)
 
