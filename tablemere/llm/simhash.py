@@ -17,7 +17,7 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _CHUNK_WORDS = 1 << 16
 #: Most rows of one side of a grid cell that one tile compares.
 TILE_ROWS = 2048
-#: Most large cells whose list is broadcast (24 bytes each); more are joined by shuffle.
+#: Most large cells (24 bytes each) or ids to drop whose list is broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 50_000
 #: Pairs compared at once in a worker.
 _PAIRS = 1 << 20
@@ -266,12 +266,20 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     Rows of equal id are one document and one of them stays; rows without id
     stay, for no group can name them. All columns are unchanged.
     """
-    found = checkpoint(near_duplicates(docs, doc_id, text, shingle, bits).select(F.col(doc_id).alias("_id"), "component_id"))
+    found = near_duplicates(docs, doc_id, text, shingle, bits).select(F.col(doc_id).alias("_id"), "component_id")
+    return keep_firsts(docs, found, doc_id)
+
+
+def keep_firsts(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that (_id, component_id) rows name as their component, and those without id."""
+    found = checkpoint(found)
     each = found.where("_id is not null").groupBy("_id").agg(
         F.count(F.lit(1)).alias("n"), F.bool_or(F.col("_id") == F.col("component_id")).alias("stays")
     )
     each = checkpoint(each.where("n > 1 or not stays"))  # most documents are neither repeated nor dropped
     drop, again = each.select("_id"), each.where("n > 1 and stays").select("_id")
+    if each.count() <= BROADCAST_ROWS:
+        drop = F.broadcast(drop)
     out = docs.join(drop, docs[doc_id] == drop["_id"], "left_anti")
     if again.isEmpty():
         return out
