@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -20,8 +19,8 @@ from pyspark.sql import functions as F
 from tablemere.llm.common import map_texts
 
 KINDS = ("assign", "access", "hex")
-#: Most bytes that one compressed layer may unfold to; a larger one is left as it is.
-LAYER_BYTES = 32 << 20
+#: Bytes of a compressed layer that are scanned at once; a larger one is scanned in windows that overlap by so many bytes.
+LAYER_BYTES, OVERLAP = 32 << 20, 1 << 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -31,6 +30,10 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _URLSAFE = str.maketrans("-_", "+/")
+#: Two or more lines that are nothing but base64, as MIME and PEM have them; the last may be short.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}[\x20\t]*\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_UTF16 = re.compile(rb"(?:[^\x00]\x00){8,}|(?:\x00[^\x00]){8,}")
 _ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 Span = tuple[str, int, int]
@@ -85,6 +88,20 @@ class _Layer:
         return _Layer(text, np.full(len(text), a), np.full(len(text), b))
 
 
+class _Text(_Layer):
+    """A decoded text whose places don't matter, for all of it comes from one stretch."""
+
+    def replaced(self, parts: list[tuple[int, int, str]]) -> _Layer:
+        texts, at = [], 0
+        for i, j, new in parts:
+            texts += [self.text[at:i], new]
+            at = j
+        return _Text("".join([*texts, self.text[at:]]))
+
+    def inner(self, i: int, j: int, text: str) -> _Layer:
+        return _Text(text)
+
+
 def _percent(layer: _Layer) -> Iterator[_Layer]:
     parts = []
     for m in _PERCENT.finditer(layer.text):
@@ -92,7 +109,7 @@ def _percent(layer: _Layer) -> Iterator[_Layer]:
         try:
             text = raw.decode()
         except UnicodeDecodeError:
-            continue
+            text = raw.decode("latin-1")
         if len(text) == len(raw):  # one sign each: keep the places exact
             parts += [(m.start() + 3 * k, m.start() + 3 * k + 3, c) for k, c in enumerate(text)]
         else:
@@ -116,35 +133,56 @@ def _escapes(layer: _Layer) -> Iterator[_Layer]:
         yield layer.replaced(parts)
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """One compression layer less; None if there is none or it is too large."""
-    try:
+def _chunks(raw: bytes) -> Iterator[bytes]:
+    """What is in a compression layer, in parts, all members of it; what comes before an error counts."""
+    size = LAYER_BYTES // 8 + 1
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        try:
+            with zstandard.ZstdDecompressor(max_window_size=128 << 20).stream_reader(raw, read_across_frames=True) as r:
+                while part := r.read(size):
+                    yield part
+        except zstandard.ZstdError:
+            pass
+        return
+    while raw:
         if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0):
             work = zlib.decompressobj(47)
-            out = work.decompress(raw, LAYER_BYTES + 1)
         elif raw[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(raw, LAYER_BYTES + 1)
+            work = bz2.BZ2Decompressor()
         elif raw[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor(memlimit=128 << 20).decompress(raw, LAYER_BYTES + 1)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor(max_window_size=LAYER_BYTES).stream_reader(raw) as r:
-                out = r.read(LAYER_BYTES + 1)
+            work = lzma.LZMADecompressor(memlimit=128 << 20)
         else:
-            return None
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    return out if out and len(out) <= LAYER_BYTES else None
-
-
-def _text_of(raw: bytes) -> str | None:
-    """The text in some bytes, through any number of compressions; None if it isn't text."""
-    seen = set()
-    while (digest := hashlib.sha256(raw).digest()) not in seen:
-        seen.add(digest)
-        less = _unpacked(raw)
-        if less is None:
-            break
-        raw = less
+            return
+        try:
+            part = work.decompress(raw, size)
+            while part or not work.eof:
+                if part:
+                    yield part
+                left = getattr(work, "unconsumed_tail", b"")
+                if work.eof or not (left or part):
+                    break
+                part = work.decompress(left, size)
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            return
+        raw = work.unused_data.lstrip(b"\0") if work.eof else b""
+
+
+def _unpacked(raw: bytes) -> Iterator[bytes]:
+    """One compression layer less, in overlapping windows if it is large; nothing if there is none."""
+    held, size, first = [], 0, True
+    for part in _chunks(raw):
+        held.append(part)
+        size += len(part)
+        if size > LAYER_BYTES:
+            whole = b"".join(held)
+            yield whole
+            held, size, first = [whole[-OVERLAP:]], min(OVERLAP, len(whole)), False
+    if first and size or size > OVERLAP or not first and len(held) > 1:
+        yield b"".join(held)
+
+
+def _clean(raw: bytes) -> str | None:
+    """The text in some bytes; None if they aren't plain text."""
     try:
         text = raw.decode()
     except UnicodeDecodeError:
@@ -152,46 +190,155 @@ def _text_of(raw: bytes) -> str | None:
     return text if text and not _ODD.search(text) else None
 
 
+def _texts_of(raw: bytes, seen: frozenset[bytes] = frozenset()) -> Iterator[str]:
+    """The texts in some bytes, through any number of compressions; bytes that aren't UTF-8 count as latin-1, and UTF-16 as what it spells."""
+    digest = hashlib.sha256(raw).digest()
+    if digest in seen:
+        return
+    packed = False
+    for less in _unpacked(raw):
+        packed = True
+        yield from _texts_of(less, seen | {digest})
+    if packed:
+        return
+    try:
+        yield raw.decode()
+    except UnicodeDecodeError:
+        yield raw.decode("latin-1")
+    if b"\0" in raw:
+        yield from (m[0].replace(b"\0", b"").decode("latin-1") for m in _UTF16.finditer(raw))
+    yield from _embedded(raw, seen | {digest})
+
+
+def _embedded(raw: bytes, seen: frozenset[bytes] = frozenset()) -> Iterator[str]:
+    """Texts of the compressed stretches that start within some bytes."""
+    for m in _MAGIC.finditer(raw):
+        for less in _unpacked(raw[m.start() :]) if m.start() else ():
+            yield from _texts_of(less, seen)
+
+
 def _base64(layer: _Layer) -> Iterator[_Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").translate(_URLSAFE)
-        if len(run) % 4 == 1:
+    """Layers of each run, and of runs that line ends part.
+
+    A run that is plain or compressed text as a whole is one stretch. It may
+    also begin before the encoded part (a path or a name that is glued to it):
+    so all four alignments are decoded with each byte's own place, and
+    compressed parts are looked for after each sign that can part a path.
+    """
+    for pattern in (_BASE64, _WRAPPED):
+        for m in pattern.finditer(layer.text):
+            run = m[0].rstrip("=")
+            at = None
+            if pattern is _WRAPPED:
+                at = np.array([k for k, c in enumerate(run) if not c.isspace()])
+                run = "".join(run.split())
+            run = run.translate(_URLSAFE)
+            for o in range(4):
+                part = run[o : len(run) - ((len(run) - o) % 4 == 1)]
+                if len(part) < 2:
+                    continue
+                raw = base64.b64decode(part + "=" * (-len(part) % 4))
+                if o == 0:
+                    if _clean(raw) is not None or next(_unpacked(raw), None) is not None:
+                        for text in _texts_of(raw):
+                            yield layer.inner(m.start(), m.end(), text)
+                        continue
+                starts = {u.start() for u in _MAGIC.finditer(raw)}
+                starts |= {(k - o) // 4 * 3 for k in (x.end() for x in re.finditer(r"[/+]", run)) if (k - o) % 4 == 0 and k >= o}
+                if isinstance(layer, _Text):
+                    yield _Text(raw.decode("latin-1"))
+                    yield from map(_Text, (u[0].replace(b"\0", b"").decode("latin-1") for u in _UTF16.finditer(raw)))
+                    yield from (_Text(t) for k in sorted(starts) if k < len(raw) for less in _unpacked(raw[k:]) for t in _texts_of(less))
+                    continue
+                first = o + np.arange(len(raw)) // 3 * 4 + np.arange(len(raw)) % 3
+                begin = first if at is None else at[first]
+                last = np.minimum(first + 1, len(run) - 1)
+                end = (last if at is None else at[last]) + 1
+                end = np.minimum(end, m.end() - m.start())
+                a, b = m.start() + begin, m.start() + end
+                if layer.start is not None:
+                    a, b = layer.start[a], np.maximum(layer.end[b - 1], layer.end[a])
+                yield _Layer(raw.decode("latin-1"), a, b)
+                if b"\0" in raw:
+                    for u in _UTF16.finditer(raw):
+                        keep = [k for k in range(u.start(), u.end()) if raw[k]]
+                        yield _Layer(u[0].replace(b"\0", b"").decode("latin-1"), a[keep], b[keep])
+                for k in sorted(starts):
+                    if k < len(raw):
+                        for less in _unpacked(raw[k:]):
+                            for text in _texts_of(less):
+                                yield _Layer(text, np.full(len(text), a[k:].min()), np.full(len(text), b[k:].max()))
+
+
+def _decoded(layer: _Layer) -> Iterator[_Layer]:
+    yield from _base64(layer)
+    if "%" in layer.text:
+        yield from _percent(layer)
+    if "\\" in layer.text or "&#" in layer.text:
+        yield from _escapes(layer)
+
+
+def _digest(layer: _Layer) -> bytes:
+    """A layer's text and places."""
+    made = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass"))
+    if layer.start is not None:
+        made.update(np.asarray(layer.start, np.int64).tobytes())
+        made.update(np.asarray(layer.end, np.int64).tobytes())
+    return made.digest()
+
+
+def _kinds(text: str, known: dict[bytes, set[str]]) -> set[str]:
+    """Kinds of all spans in a text's layers, each distinct text looked at once."""
+    own = _digest(_Text(text))
+    if own in known:
+        return known[own]
+    found, seen, work = {k for k, _, _ in base_spans(text)}, {own}, [_decoded(_Text(text))]
+    while work and len(found) < len(KINDS):
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
             continue
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        if (name := _digest(_Text(inner.text))) in seen:
+            continue
+        seen.add(name)
+        if name in known:
+            found |= known[name]
             continue
-        text = _text_of(raw)
-        if text is not None:
-            yield layer.inner(m.start(), m.end(), text)
+        found |= {k for k, _, _ in base_spans(inner.text)}
+        work.append(_decoded(_Text(inner.text)))
+    known[own] = found
+    return found
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text, in order.
 
     A worklist of layers: each is scanned, then unwrapped once more by every
-    decoder; what comes out is put on the list unless the same text was on it
-    before, until the list is empty. Decoding shortens a text and a text is
-    never unwrapped twice, so this ends. Spans of inner layers are those of the
-    characters of the original that they were decoded from.
+    decoder; what comes out is put on the list unless the same text from the
+    same places was on it before, until the list is empty. Layers that come
+    from one stretch as a whole need only the kinds of what is in them: these
+    are found once for each distinct text, wherever it stands. Spans of inner
+    layers are those of the characters of the original that they were decoded
+    from.
     """
     base = base_spans(text)
-    found, seen, work = set(base), {text}, [_Layer(text)]
+    found, seen, known, work = set(base), set(), {}, [_decoded(_Layer(text))]
     while work:
-        layer = work.pop()
-        if layer.start is not None:
-            found |= {(kind, *layer.span(i, j)) for kind, i, j in base_spans(layer.text)}
-        body = layer.text
-        decoders = [_base64]
-        if "%" in body:
-            decoders.append(_percent)
-        if "\\" in body or "&#" in body:
-            decoders.append(_escapes)
-        for decode in decoders:
-            for inner in decode(layer):
-                if inner.text not in seen:
-                    seen.add(inner.text)
-                    work.append(inner)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if not layer.text:
+            continue
+        a, b = layer.span(0, len(layer.text))
+        if (layer.start == a).all() and (layer.end == b).all():
+            found |= {(kind, a, b) for kind in _kinds(layer.text, known)}
+            continue
+        if (name := _digest(layer)) in seen:
+            continue
+        seen.add(name)
+        found |= {(kind, *layer.span(i, j)) for kind, i, j in base_spans(layer.text)}
+        work.append(_decoded(layer))
     return _ordered(base), _ordered(found)
 
 
