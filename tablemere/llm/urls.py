@@ -16,8 +16,12 @@ INLINE_RULES = 200
 BROADCAST_RULES = 100_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*\burl\s*=\s*([^"'\s>]+)"""
+_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+_REFRESH = (
+    r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*(?:"[^">]*?\burl\s*=\s*'?\s*([^"'\s>]+)"""
+    r"""|'[^'>]*?\burl\s*=\s*"?\s*([^"'\s>]+)|[^"'\s>]*?\burl\s*=\s*([^"'\s>]+))"""
+)
+_NAMED = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "apos;": "'"}
 
 
 @dataclass(frozen=True)
@@ -77,27 +81,74 @@ def with_rules(urls: DataFrame, rules: list[UrlRule], host: str = "host", path:
     return urls.join(found, (F.col(host) == F.col("h")) & (F.col(path) == F.col("p")), "left").drop("h", "p")
 
 
+def _without_dots(path: Column) -> Column:
+    """RFC 3986, 5.2.4: a path without its segments ``.`` and ``..``."""
+    up = lambda kept: F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", up(kept)).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    made = F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+    return F.when(path.rlike(r"^/(.*/)?\.\.?(/|$)"), made).otherwise(path)
+
+
 def _node(url: Column) -> Column:
-    """A url's identity: host, path and query, without scheme and fragment; null if it has no host."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), rest))
+    """A url's identity: host, path without dot segments and query, without scheme and fragment; null if it has no host."""
+    query = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
+    return F.when(host_of(url) != "", F.concat(host_of(url), _without_dots(path_of(url)), query))
+
+
+def _unescaped(text: Column) -> Column:
+    """``text`` with numeric HTML entities and those of the five markup signs decoded once."""
+
+    def sign(part: Column) -> Column:
+        number = F.regexp_extract(part, r"^#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", 1)
+        hexed = number.rlike("^[xX]")
+        code = F.when(hexed, F.conv(F.substring(number, 2, 6), 16, 10)).when(number != "", number).cast("int")
+        known = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code)), 8, "0")), "UTF-32")
+        out = F.when(known, F.concat(char, F.regexp_replace(part, r"^#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", "")))
+        for name, c in _NAMED.items():
+            out = out.when(part.startswith(name), F.concat(F.lit(c), F.substring(part, len(name) + 1, 1 << 30)))
+        return out.otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    made = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), sign), ""))
+    return F.when(text.contains("&"), made).otherwise(text)
+
+
+def _resolved(base: Column, t: Column) -> Column:
+    """RFC 3986, 5.2: the address that ``t`` names on the page ``base``, without fragment."""
+    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path, query = F.regexp_extract(t, r"(?s)^([^?#]*)", 1), F.regexp_extract(t, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    folder = F.when(path_of(base) == "", "/").otherwise(F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1))
+    own = F.regexp_extract(base, r"(?s)^([^#]*)", 1)
+    full = (
+        F.when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), t)
+        .when(t.startswith("//"), F.concat(F.lit("http:"), t))
+        .when(root == "", F.lit(None))
+        .when((path == "") & (query == ""), own)
+        .when(path == "", F.concat(root, path_of(base), query))
+        .when(t.startswith("/"), F.concat(root, path, query))
+        .otherwise(F.concat(root, folder, path, query))
+    )
+    start = F.regexp_extract(full, r"(?s)^(.*?://[^/?#]*)", 1)
+    rest = F.regexp_extract(full, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
+    return F.when(start != "", F.concat(start, _without_dots(path_of(full)), rest))
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b, a_url, b_url) from each page to its canonical and its refresh target.
 
-    Targets are absolute or start with ``/``; others are left out.
+    Targets have their HTML entities decoded and are resolved against the page's url.
     """
     source, body = F.col(url), F.col(html)
-    targets = F.array(F.regexp_extract(body, _CANONICAL, 1), F.regexp_extract(body, _REFRESH, 1))
+    refresh = F.concat(*[F.regexp_extract(body, _REFRESH, k) for k in (1, 2, 3)])
+    targets = F.array(F.regexp_extract(body, _CANONICAL, 1), refresh)
     found = pages.where(body.rlike(r"(?i)canonical|refresh")).select(source.alias("a_url"), F.explode(targets).alias("t"))
-    root = F.regexp_extract("a_url", r"(?s)^(.*?://[^/?#]*)", 1)
-    full = F.when(F.col("t").startswith("//"), F.concat(F.lit("http:"), "t")).when(
-        F.col("t").startswith("/"), F.concat(root, "t")
-    ).otherwise(F.col("t"))
+    plain = F.regexp_replace(_unescaped(F.col("t")), r"""^["'\s]+|["'\s]+$""", "")
     return (
         found.where("t <> ''")
-        .select("a_url", full.alias("b_url"))
+        .select("a_url", plain.alias("t"))
+        .select("a_url", _resolved(F.col("a_url"), F.col("t")).alias("b_url"))
         .select(_node(F.col("a_url")).alias("a"), _node(F.col("b_url")).alias("b"), "a_url", "b_url")
         .where("a is not null and b is not null and a <> b")
     )
