@@ -119,7 +119,9 @@ def mix(
     in that block at the document that meets it. Each epoch is a permutation:
     read rows by (epoch, block, place).
 
-    With ``carry`` the columns are those of ``docs`` instead. Null sources are
+    With ``carry`` the columns are those of ``docs`` instead, and rows are
+    dealt and sorted in that order, so that a table written of them is the
+    permutation. Null sources are
     one source; null and empty texts have no token and, like sources without
     tokens, are used with each whole epoch; documents with equal id and length
     keep their rows and order anyhow; an empty table gives none.
@@ -161,7 +163,8 @@ def mix(
     )
     out = out.where(used)
     if carry:
-        return out.select("d.*")
+        order = ["epoch", "block", "place"]
+        return out.select("d", *order).repartitionByRange(*order).sortWithinPartitions(*order).select("d.*")
     return out.select(
         F.col("d").getField(doc_id).alias("doc_id"), F.col("d").getField(source).alias("source"), F.col("n").alias("n_tokens"),
         "weight", F.col("epoch").cast("int").alias("epoch"), "block", "place",
