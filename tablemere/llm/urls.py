@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemere.llm.common import checkpoint
+from tablemere.llm.common import checkpoint, let
 from tablemere.llm.components import connected_components
 
 #: Most rules that are tested one after another; longer lists are joined on the host.
@@ -16,10 +16,14 @@ INLINE_RULES = 200
 BROADCAST_RULES = 100_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+_TAG = r"""(?i)<(?:link|meta|base)\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
+_HREF = r"""(?is)\bhref\s*=\s*(?:"\s*([^"]*)"|'\s*([^']*)'|([^"'\s>]+))"""
+_IS_BASE = r"(?i)^<base\b"
+_IS_CANONICAL = r"""(?is)^<link\b.*\brel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""
+_IS_REFRESH = r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""
 _REFRESH = (
-    r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*(?:"[^">]*?\burl\s*=\s*'?\s*([^"'\s>]+)"""
-    r"""|'[^'>]*?\burl\s*=\s*"?\s*([^"'\s>]+)|[^"'\s>]*?\burl\s*=\s*([^"'\s>]+))"""
+    r"""(?is)\bcontent\s*=\s*(?:"[^"]*?\burl\s*=\s*'?\s*([^"'\s]+)|'[^']*?\burl\s*=\s*"?\s*([^"'\s]+)|[^"'\s>]*?\burl\s*=\s*([^"'\s>]+))"""
 )
 _NAMED = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "apos;": "'"}
 
@@ -85,71 +89,108 @@ def _without_dots(path: Column) -> Column:
     """RFC 3986, 5.2.4: a path without its segments ``.`` and ``..``."""
     up = lambda kept: F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
     step = lambda kept, x: F.when(x == ".", kept).when(x == "..", up(kept)).otherwise(F.concat(kept, F.array(x)))
-    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
-    made = F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
-    return F.when(path.rlike(r"^/(.*/)?\.\.?(/|$)"), made).otherwise(path)
+
+    def made(p: Column) -> Column:
+        kept = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
+        out = F.concat(F.array_join(kept, "/"), F.when(p.rlike(r"/\.\.?$"), "/").otherwise(""))
+        return F.when(p.rlike(r"^/(.*/)?\.\.?(/|$)"), out).otherwise(p)
+
+    return let(path, made)
 
 
 def _node(url: Column) -> Column:
     """A url's identity: host, path without dot segments and query, without scheme and fragment; null if it has no host."""
-    query = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), _without_dots(path_of(url)), query))
+
+    def made(u: Column) -> Column:
+        query = F.regexp_extract(u, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
+        return let(host_of(u), lambda h: F.when(h != "", F.concat(h, _without_dots(path_of(u)), query)))
+
+    return let(url, made)
 
 
 def _unescaped(text: Column) -> Column:
     """``text`` with numeric HTML entities and those of the five markup signs decoded once."""
+    entity = r"^#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?"
 
-    def sign(part: Column) -> Column:
-        number = F.regexp_extract(part, r"^#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", 1)
-        hexed = number.rlike("^[xX]")
-        code = F.when(hexed, F.conv(F.substring(number, 2, 6), 16, 10)).when(number != "", number).cast("int")
-        known = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code)), 8, "0")), "UTF-32")
-        out = F.when(known, F.concat(char, F.regexp_replace(part, r"^#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", "")))
+    def numbered(part: Column, number: Column) -> Column:
+        code = F.when(number.rlike("^[xX]"), F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).cast("int")
+
+        def sign(c: Column) -> Column:
+            char = F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+            known = ((c > 0) & (c < 0xD800)) | ((c > 0xDFFF) & (c <= 0x10FFFF))
+            return F.when(known, F.concat(char, F.regexp_replace(part, entity, ""))).otherwise(F.concat(F.lit("&"), part))
+
+        return let(code, sign)
+
+    def decoded(part: Column) -> Column:
+        out = F.when(part.rlike(entity), let(F.regexp_extract(part, entity, 1), lambda n: numbered(part, n)))
         for name, c in _NAMED.items():
             out = out.when(part.startswith(name), F.concat(F.lit(c), F.substring(part, len(name) + 1, 1 << 30)))
         return out.otherwise(F.concat(F.lit("&"), part))
 
-    parts = F.split(text, "&")
-    made = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), sign), ""))
-    return F.when(text.contains("&"), made).otherwise(text)
-
-
-def _resolved(base: Column, t: Column) -> Column:
-    """RFC 3986, 5.2: the address that ``t`` names on the page ``base``, without fragment."""
-    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    path, query = F.regexp_extract(t, r"(?s)^([^?#]*)", 1), F.regexp_extract(t, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    folder = F.when(path_of(base) == "", "/").otherwise(F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1))
-    own = F.regexp_extract(base, r"(?s)^([^#]*)", 1)
-    full = (
-        F.when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), t)
-        .when(t.startswith("//"), F.concat(F.lit("http:"), t))
-        .when(root == "", F.lit(None))
-        .when((path == "") & (query == ""), own)
-        .when(path == "", F.concat(root, path_of(base), query))
-        .when(t.startswith("/"), F.concat(root, path, query))
-        .otherwise(F.concat(root, folder, path, query))
-    )
-    start = F.regexp_extract(full, r"(?s)^(.*?://[^/?#]*)", 1)
-    rest = F.regexp_extract(full, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
-    return F.when(start != "", F.concat(start, _without_dots(path_of(full)), rest))
+    def made(t: Column) -> Column:
+        parts = F.split(t, "&")
+        joined = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), decoded), ""))
+        return F.when(t.contains("&"), joined).otherwise(t)
+
+    return let(text, made)
+
+
+def _resolved(base: Column, target: Column) -> Column:
+    """RFC 3986, 5.2: the address that ``target`` names on the page ``base``, without fragment."""
+
+    def full(b: Column, t: Column) -> Column:
+        root = F.regexp_extract(b, r"(?s)^(.*?://[^/?#]*)", 1)
+        path, query = F.regexp_extract(t, r"(?s)^([^?#]*)", 1), F.regexp_extract(t, r"(?s)^[^?#]*(\?[^#]*)", 1)
+        folder = F.when(path_of(b) == "", "/").otherwise(F.regexp_extract(path_of(b), r"(?s)^(.*/)", 1))
+        return (
+            F.when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), t)
+            .when(t.startswith("//"), F.concat(F.lit("http:"), t))
+            .when(root == "", F.lit(None))
+            .when((path == "") & (query == ""), F.regexp_extract(b, r"(?s)^([^#]*)", 1))
+            .when(path == "", F.concat(root, path_of(b), query))
+            .when(t.startswith("/"), F.concat(root, path, query))
+            .otherwise(F.concat(root, folder, path, query))
+        )
+
+    def clean(u: Column) -> Column:
+        start = F.regexp_extract(u, r"(?s)^(.*?://[^/?#]*)", 1)
+        rest = F.regexp_extract(u, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
+        return F.when(start != "", F.concat(start, _without_dots(path_of(u)), rest))
+
+    return let(base, lambda b: let(target, lambda t: let(full(b, t), clean)))
+
+
+def _first_group(text: Column, pattern: str) -> Column:
+    return F.concat(*[F.regexp_extract(text, pattern, k) for k in (1, 2, 3)])
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b, a_url, b_url) from each page to its canonical and its refresh target.
+    """(a, b, a_url, b_url) from each page to each of its canonical and refresh targets.
 
-    Targets have their HTML entities decoded and are resolved against the page's url.
+    Comments hold no links. Targets have their HTML entities decoded and are
+    resolved against the page's ``base`` address if it names one, else against its url.
     """
-    source, body = F.col(url), F.col(html)
-    refresh = F.concat(*[F.regexp_extract(body, _REFRESH, k) for k in (1, 2, 3)])
-    targets = F.array(F.regexp_extract(body, _CANONICAL, 1), refresh)
-    found = pages.where(body.rlike(r"(?i)canonical|refresh")).select(source.alias("a_url"), F.explode(targets).alias("t"))
-    plain = F.regexp_replace(_unescaped(F.col("t")), r"""^["'\s]+|["'\s]+$""", "")
+    trimmed = lambda t: F.regexp_replace(_unescaped(t), r"""^["'\s]+|["'\s]+$""", "")
+    tags = F.regexp_extract_all(F.regexp_replace(F.col(html), _COMMENT, ""), F.lit(_TAG), F.lit(0))
+    found = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("a_url"), tags.alias("tags"))
+
+    def ends(a: Column, tag: Column, base: Column) -> Column:
+        target = F.when(tag.rlike(_IS_CANONICAL), _first_group(tag, _HREF)).when(tag.rlike(_IS_REFRESH), _first_group(tag, _REFRESH))
+        return let(
+            F.when(target != "", _resolved(base, trimmed(target))),
+            lambda b: F.struct(_node(a).alias("a"), _node(b).alias("b"), a.alias("a_url"), b.alias("b_url")),
+        )
+
+    def of_page(a: Column, tags: Column) -> Column:
+        named = F.get(F.filter(tags, lambda t: t.rlike(_IS_BASE) & t.rlike(_HREF)), 0)
+        base = F.coalesce(_resolved(a, trimmed(_first_group(named, _HREF))), a)
+        return let(base, lambda b: F.transform(F.filter(tags, lambda t: ~t.rlike(_IS_BASE)), lambda t: ends(a, t, b)))
+
+    # one expression whose parts are bound once: filters on it must not be pushed into it
     return (
-        found.where("t <> ''")
-        .select("a_url", plain.alias("t"))
-        .select("a_url", _resolved(F.col("a_url"), F.col("t")).alias("b_url"))
-        .select(_node(F.col("a_url")).alias("a"), _node(F.col("b_url")).alias("b"), "a_url", "b_url")
+        found.select(F.explode(of_page(F.col("a_url"), F.col("tags"))).alias("e"))
+        .select("e.*")
         .where("a is not null and b is not null and a <> b")
     )
 
@@ -165,8 +206,9 @@ def judge(
     ``redirects`` table (from_url, to_url), transitively. If a rule allows one
     of them the page is allowed; else if a rule blocks one it is blocked; else
     it is allowed. Null urls have empty host and path, no alias and no rule;
-    null html has no link; repeated pages keep their rows; an empty table gives
-    none. Other columns are not read.
+    null html has no link; very long urls and html are read whole; repeated
+    pages keep their rows; of rules as long as each other allow wins; an empty
+    table gives none. Other columns are not read.
     """
     edges = link_edges(pages, url, html)
     if redirects is not None:

@@ -1,3 +1,4 @@
+import random
 from urllib.parse import urldefrag, urljoin
 
 from pyspark.sql import functions as F
@@ -34,3 +35,51 @@ def test_each_form_of_link_carries_the_block(spark):
     moved = spark.createDataFrame(redirects, "from_url string, to_url string")
     got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, [UrlRule("block", "blocked.net", "/")], moved).collect()}
     assert got == dict.fromkeys(range(len(forms)), "block")
+
+
+def test_all_links_of_a_page_count_but_not_those_in_comments(spark):
+    rows = [
+        (1, "http://a.org/1", "<link rel=canonical href='http://a.org/x'><link rel=canonical href='http://bad.net/1'>"),
+        (2, "http://b.org/2", "<!-- <link rel=canonical href='http://bad.net/2'> --><p>canonical</p>"),
+        (3, "http://c.org/d/3", "<base href='http://bad.net/e/'><link rel='alternate canonical' href='3'>"),
+        (4, "http://d.org/4", "<link title='a>b' rel=\"canonical\" href='http://bad.net/4'>"),
+        (5, "http://e.org/5", "<p>x</p>" * 40_000 + "<meta content='1; url=http://bad.net/5' http-equiv=refresh>"),
+        (6, "http://f.org/" + "y" * 200_000, "<link rel=canonical href='http://bad.net/6'>"), (7, "http://g.org/7", "<!-- canonical"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, [UrlRule("block", "bad.net", "/")]).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow"}
+
+
+def slow_verdicts(rows, redirects, rules):
+    """Verdicts by a plain search through the links of absolute addresses."""
+    fit = lambda u: min((r for r in rules if u.split("/")[2] == r.host and ("/" + u.split("/", 3)[3]).startswith(r.path)), key=lambda r: (-len(r.text), r.action), default=None)
+    near = {}
+    for a, b in [(u, t) for _, u, ts in rows for t in ts] + redirects:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {}
+    for i, u, _ in rows:
+        seen, work = {u}, [u]
+        while work:
+            new = near.get(work.pop(), set()) - seen
+            seen |= new
+            work += new
+        actions = {r.action for r in map(fit, seen) if r}
+        out[i] = fit(u).action if fit(u) else "allow" if "allow" in actions or not actions else "block"
+    return out
+
+
+def test_generated_link_graphs(spark):
+    rules = [UrlRule("block", "h0.net", "/0/"), UrlRule("allow", "h1.net", "/1"), UrlRule("block", "h1.net", "/"), UrlRule("block", "h2.net", "/2"), UrlRule("allow", "h2.net", "/22")]
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        name = lambda: f"http://h{rng.randrange(9)}.net/{rng.randrange(60)}/"
+        known = [name() for _ in range(200)]
+        rows = [(i, u, [rng.choice(known + [name()]) for _ in range(rng.choice((0, 0, 1, 1, 2)))]) for i, u in enumerate(known)]
+        redirects = [(name(), rng.choice(known)) for _ in range(20)]
+        html = lambda ts: "".join(f"<link rel=canonical href='{t}'>" if k % 2 else f'<meta http-equiv=refresh content="3;url={t}">' for k, t in enumerate(ts))
+        pages = spark.createDataFrame([(i, u, html(ts)) for i, u, ts in rows], "page_id long, url string, html string")
+        got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, rules, spark.createDataFrame(redirects, "from_url string, to_url string")).collect()}
+        want = slow_verdicts(rows, redirects, rules)
+        assert got == want and set(want.values()) == {"allow", "block"}
