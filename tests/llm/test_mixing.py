@@ -61,6 +61,65 @@ def test_budgets(spark, monkeypatch, budget, blocks):
     assert max(per_epoch.values()) == 1
 
 
+@pytest.mark.parametrize("wanted", [0.3, 0.5, 0.7, 0.99])
+@pytest.mark.parametrize("driver", [100_000, 0])
+def test_entropy_is_met_from_either_side(spark, monkeypatch, wanted, driver):
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", driver)
+    _, share = shares(SIZES)
+    own = entropy(share.values())
+    assert 0.5 < own < 0.7
+    plan = mixing.source_plan(spark.createDataFrame([(str(k), sum(v)) for k, v in SIZES.items()], "key string, tokens long"), wanted, 1000.0)
+    weights = {r["key"]: r["weight"] for r in plan.collect() if r["tokens"]}
+    assert entropy(weights.values()) == pytest.approx(wanted, abs=1e-6) and sum(weights.values()) == pytest.approx(1)
+    largest = max(share, key=share.get)
+    assert (weights[str(largest)] > share[largest]) == (wanted < own)
+
+
+def test_sources_tied_for_the_largest(spark):
+    rows = mixing.mix(docs_of(spark, {"a": [10] * 30, "b": [10] * 30, "c": [10] * 3}), entropy=0.1).collect()
+    weights = {r["source"]: r["weight"] for r in rows}
+    assert weights["a"] == weights["b"] and sum(weights.values()) == pytest.approx(1, abs=1e-9)
+
+
+def slow_mix(sizes, want, limit, budget):
+    """source -> (weight, tokens wanted) by a fine search over exponents."""
+    total, share = shares(sizes)
+    best = None
+    for k in range(0, 8001):
+        a = k / 1000
+        z = sum(s**a for s in share.values())
+        w = {x: s**a / z for x, s in share.items()}
+        if max(w[x] / share[x] for x in w) * budget <= limit + 1e-9:
+            miss = abs(entropy(w.values()) - want)
+            best = min(best or (9, w), (miss, w), key=lambda x: x[0])
+    return {x: (v, v * budget * sum(total.values())) for x, v in best[1].items()}
+
+
+@pytest.mark.parametrize("want,limit,budget", [(0.5, 4.0, 1.0), (0.9, 2.5, 1.0), (0.4, 1.1, 0.7), (0.75, 4.0, 1.7)])
+def test_against_a_search_over_exponents(spark, want, limit, budget):
+    rows, tokens, _ = used(mixing.mix(docs_of(spark, SIZES), entropy=want, repeat_limit=limit, budget=budget))
+    weights = {r["source"]: r["weight"] for r in rows}
+    for k, (weight, amount) in slow_mix(SIZES, want, limit, budget).items():
+        assert weights.get(k, weight) == pytest.approx(weight, abs=2e-3)
+        assert abs(tokens[k] - amount) <= max(SIZES[k]) + 0.002 * sum(map(sum, SIZES.values())) * budget
+
+
+@pytest.mark.parametrize("bits", [52, 62])
+def test_the_cut_is_at_the_document_that_meets_the_budget(spark, monkeypatch, bits):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(mixing, "PART_BITS", bits)
+    docs = docs_of(spark, SIZES)
+    every = mixing.mix(docs, entropy=0.9, repeat_limit=50.0, budget=30.0).collect()
+    rows, tokens, _ = used(mixing.mix(docs, entropy=0.9, repeat_limit=50.0, budget=1.0))
+    for k in ("a", "b", "c", None):
+        own = [r for r in rows if r["source"] == k]
+        last = max(r["epoch"] for r in own)
+        order = lambda r: (r["block"], r["place"])
+        whole = sorted((r for r in every if r["source"] == k and r["epoch"] == last), key=order)
+        part = sorted((r for r in own if r["epoch"] == last), key=order)
+        assert [r["doc_id"] for r in part] == [r["doc_id"] for r in whole][: len(part)]  # a prefix of that epoch's permutation
+
+
 def test_epochs_are_different_permutations(spark):
     rows = mixing.mix(docs_of(spark, {"a": [10] * 40, "b": [10] * 400}), entropy=0.99, repeat_limit=50.0, budget=2.0).collect()
     order = {e: [r["doc_id"] for r in sorted((r for r in rows if r["source"] == "a" and r["epoch"] == e), key=lambda r: (r["block"], r["place"]))] for e in (0, 1, 2)}
