@@ -2,18 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tablemere.llm.common import checkpoint
+from tablemere.llm.common import checkpoint, prepare_workers
+
+#: Edges that a worker contracts at once (about 100 bytes each).
+LOT = 1 << 19
+
+
+def star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links a-b: each node but the least of its component, with that least node."""
+    nodes, both = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, label = both[: len(a)], both[len(a) :], np.arange(len(nodes))
+    while True:
+        was = label.copy()
+        np.minimum.at(label, x, was[y])
+        np.minimum.at(label, y, was[x])
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, was[x], low)  # hook the old roots too
+        np.minimum.at(label, was[y], low)
+        label = label[label]
+        if (label == was).all():
+            break
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of long nodes with the same components: star edges of each lot of LOT edges, so at most one a node and lot."""
+    prepare_workers(edges.sparkSession)
+
+    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = star_edges(*[np.concatenate([np.asarray(x.column(k)) for x in held]) for k in (0, 1)])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held, rows = [*held, batch], rows + batch.num_rows
+            if rows >= LOT:
+                yield made(held)
+                held, rows = [], 0
+        if rows:
+            yield made(held)
+
+    return edges.select("a", "b").where("a is not null and b is not null").mapInArrow(run, "a long, b long")
 
 
-def _stamp(edges: DataFrame) -> tuple:
-    """Row count and order-free hash: two equal stamps mean the edge set no longer changes."""
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")
-    ).first()
-    return row["n"], row["h"]
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and its row count and order-free hash: two equal stamps mean that the edges no longer change."""
+    seen = Observation()
+    out = checkpoint(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")))
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -49,15 +94,13 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     split; rounds grow with the logarithm of the longest path. Links never reach
     the driver: only a count and a hash do, to see that nothing moves any more.
     """
-    now = checkpoint(
+    now, stamp = _stored(
         edges.select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .distinct()
     )
-    stamp = _stamp(now)
     while stamp[0]:
-        now = checkpoint(_small_star(checkpoint(_large_star(now).distinct())).distinct())
-        after = _stamp(now)
+        now, after = _stored(_small_star(checkpoint(_large_star(now).distinct())).distinct())
         if after == stamp:
             break
         stamp = after

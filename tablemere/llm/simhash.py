@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemere.llm.common import checkpoint, map_texts, prepare_workers
-from tablemere.llm.components import connected_components
+from tablemere.llm.components import connected_components, contracted, star_edges
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _CHUNK_WORDS = 1 << 16
@@ -124,24 +124,6 @@ def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For links a-b: each node but the least of its component, with that least node."""
-    nodes, both = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y, label = both[: len(a)], both[len(a) :], np.arange(len(nodes))
-    while True:
-        was = label.copy()
-        np.minimum.at(label, x, was[y])
-        np.minimum.at(label, y, was[x])
-        low = np.minimum(label[x], label[y])
-        np.minimum.at(label, was[x], low)  # hook the old roots too
-        np.minimum.at(label, was[y], low)
-        label = label[label]
-        if (label == was).all():
-            break
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def linked_pairs(key: np.ndarray, probe: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within each run of equal keys (sorted, standing rows first), as star edges."""
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -249,7 +231,7 @@ def near_duplicates(
     """
     marked = checkpoint(fingerprints(docs, doc_id, text, shingle))
     classes = checkpoint(marked.groupBy("fp").agg(F.min(doc_id).alias("first")))
-    parts = connected_components(links(classes.select("fp"), bits), "a", "b")
+    parts = connected_components(contracted(links(classes.select("fp"), bits)), "a", "b")
     joined = classes.join(parts, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )

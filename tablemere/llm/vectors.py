@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemere.llm.common import bounded_sample, checkpoint, let, prepare_workers
-from tablemere.llm.components import connected_components
-from tablemere.llm.simhash import star_edges
+from tablemere.llm.components import connected_components, contracted, star_edges
 
 #: Rows the rotation and the ranges are fitted on; they steer the work, never the result.
 FIT_ROWS = 20_000
@@ -160,7 +159,7 @@ def near_duplicates(
         found = found.union(more)
     found = checkpoint(found)
     counts = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("near"))
-    parts = connected_components(found.where("kind = 1"), "a", "b").select(F.col("node").alias("cid"), "component")
+    parts = connected_components(contracted(found.where("kind = 1")), "a", "b").select(F.col("node").alias("cid"), "component")
     named = classes.select("cid", "v", "n", "first").join(counts, "cid", "left").join(parts, "cid", "left")
     named = named.withColumn("component", F.coalesce("component", "cid"))
     firsts = checkpoint(named.groupBy("component").agg(F.min("first").alias("component_id")))
