@@ -7,7 +7,7 @@ import corpus_pipeline
 from tablemere.llm import secrets
 from tablemere.llm.queries import TOKENIZER
 from test_rules import measured
-from test_simhash import slow_components, slow_fingerprint
+from test_shingles import slow_firsts
 
 DIR = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,12 +24,8 @@ def kept(text):
 def expected(rows):
     """Rows after rules, deduplication and redaction, by plain code."""
     rows = [r for r in rows if kept(r["text"])]
-    part = slow_components([slow_fingerprint(r["text"]) for r in rows])
-    least = {}
-    for r in rows:
-        c = part[slow_fingerprint(r["text"])]
-        least[c] = min(least.get(c, r["doc_id"]), r["doc_id"])
-    rows = [r for r in rows if r["doc_id"] in least.values()]
+    first = slow_firsts([(r["doc_id"], r["text"]) for r in rows])
+    rows = [r for r in rows if first[r["doc_id"]] == r["doc_id"]]
     return [r | {"text": secrets.redacted(r["text"], secrets.all_spans(r["text"])[1])} for r in rows]
 
 
