@@ -74,3 +74,37 @@ def test_sample_is_bounded(spark, monkeypatch):
     df = spark.range(500).selectExpr("id AS doc_id", "'text ' || id AS text", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END AS lang")
     langid.fit(df)
     assert set(seen) == {"a", "b"} and all(len(v) == 4 for v in seen.values())
+
+
+def test_letters_are_those_of_unicode(spark):
+    model = langid.build({"a": ["some words here"], "b": ["andere Wörter"]})
+    texts = ["½ ²", "①②", "Ⅷ ⅷ", "", "12 !?", "ª", "漢", "x", "é", "½ " * 50_000 + "漢"]
+    got = model.classify(*text_buffer(pa.array(texts)))[0]
+    assert [g == "und" for g in got] == [True] * 5 + [False] * 5
+
+
+def test_a_tie_goes_to_the_first_by_name():
+    model = langid.build({k: ["the very same training text for each of them, word by word"] for k in ("c", "b", "a")})
+    names, score = model.classify(*text_buffer(pa.array(["the same text", "zzz"])))
+    assert names == ["a", "a"] and list(score) == [0.5, 0.5]
+
+
+def test_unequal_training_sizes(spark):
+    docs = {}
+    for r in read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang", "text").collect():
+        docs.setdefault(r["lang"], []).append(r["text"][:1500])
+    least = min(docs)
+    train = {k: v[: 2 if k == least else 60] for k, v in docs.items()}
+    model = langid.build(train)
+    test = {k: v[100:160] for k, v in docs.items()}
+    right = {k: np.mean([n == k for n in model.classify(*text_buffer(pa.array(v)))[0]]) for k, v in test.items()}
+    assert min(right.values()) >= 0.9, right
+
+
+def test_a_very_long_text_is_parsed_in_parts(monkeypatch):
+    model = langid.build({"a": ["the cat sat on the mat"], "b": ["el gato come en casa"]})
+    text = "the cat ate el gato " * 5000
+    whole = model.classify(*text_buffer(pa.array([text])))
+    monkeypatch.setattr(langid, "SLICE_BYTES", 4096)
+    parts = model.classify(*text_buffer(pa.array([text])))
+    assert whole[0] == parts[0] and whole[1][0] == parts[1][0]
