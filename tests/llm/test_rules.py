@@ -63,6 +63,20 @@ def test_order_changes_no_verdict(docs):
     assert kept == [7]
 
 
+def test_the_order_is_by_rejection_per_second(docs):
+    found = rules.estimate(docs)
+    assert [e.rejected / e.seconds for e in found] == sorted((e.rejected / e.seconds for e in found), reverse=True)
+    never = rules.Rule("never", ("n_words",), lambda n: n < 0)
+    always = rules.Rule("always", ("n_words",), lambda n: n >= 0)
+    assert [e.rule.name for e in rules.estimate(docs, (never, always))] == ["always", "never"]
+
+
+def test_the_sample_is_not_the_first_rows(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id < 10000 THEN 'a' ELSE 'a b c d e f g h i j k l' END AS text")
+    share = {e.rule.name: e.rejected for e in rules.estimate(df)}["few_words"]
+    assert 0.3 < share < 0.7
+
+
 def test_no_rules_keep_all(docs):
     assert rules.keep(docs, ()).count() == len(TEXTS)
 
