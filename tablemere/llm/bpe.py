@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -18,8 +19,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tablemere.llm.automaton import SuffixAutomaton
 from tablemere.llm.common import map_texts, prepare_workers
 
-#: Pieces of each of the two generations of a worker's cache (about 220 bytes each), and pair tests kept.
-CACHE_PIECES, CACHE_PAIRS = 250_000, 300_000
+#: Most pieces and bytes of each of the two generations of a worker's cache, the longest piece in it, and pair tests kept.
+CACHE_PIECES, CACHE_BYTES, CACHE_LONGEST, CACHE_PAIRS = 250_000, 80_000_000, 256, 300_000
 #: Fixed value: how byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEVER = 1 << 30
@@ -33,19 +34,23 @@ def byte_letters() -> list[str]:
 
 
 class _PieceCache(dict):
-    """What ``make`` says of each piece, for the last two generations of CACHE_PIECES."""
+    """What ``make`` says of each piece, for the last two generations of CACHE_PIECES and CACHE_BYTES; long pieces are not kept."""
 
     def __init__(self, make: Callable[[str], str]) -> None:
         super().__init__()
-        self._make, self._old = make, {}
+        self._make, self._old, self._bytes = make, {}, 0
 
     def __missing__(self, piece: str) -> str:
         found = self._old.get(piece)
         if found is None:
             found = self._make(piece)
-        if len(self) >= CACHE_PIECES:
+        if len(piece) > CACHE_LONGEST:
+            return found
+        if len(self) >= CACHE_PIECES or self._bytes >= CACHE_BYTES:
             self._old = dict(self)
             self.clear()
+            self._bytes = 0
+        self._bytes += sys.getsizeof(piece) + sys.getsizeof(found) + 100  # and its place in the table
         self[piece] = found
         return found
 
@@ -230,8 +235,11 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     """(doc_id, ids array<int>, intact) of every whole text; intact: decoding the ids gives the text.
 
     ``tokenizer`` is the path of a tokenizers file on the driver; its content
-    goes out with the tasks. Null and empty texts have no ids; repeated rows
-    give repeated rows; an empty table gives none; other columns are not read.
+    goes out with the tasks. Null and empty texts have no ids; very long texts
+    are encoded whole, and a very long piece takes 4 bytes of back-pointers for
+    each of its bytes; of encodings that tie there is none, for each prefix has
+    one last token; repeated rows give repeated rows; an empty table gives none;
+    other columns are not read.
     """
     source = Path(tokenizer).read_bytes()
 
@@ -267,7 +275,7 @@ def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of ``encode`` and of decoding its ids.
 
     The digests are taken in the workers, so neither ids nor texts move. Nulls,
-    repeats and empty tables are as in ``encode``.
+    long texts, repeats and empty tables are as in ``encode``.
     """
     source = Path(tokenizer).read_bytes()
 

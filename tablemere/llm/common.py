@@ -26,11 +26,19 @@ _shipped: set[str] = set()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests) make one."""
-    if spark.conf.get("spark.checkpoint.dir", None):
+    """Use the cluster's spark.checkpoint.dir; only where it is unset, and Spark runs on this machine alone (tests), make one.
+
+    Other masters without one raise an error: their executors would not see a folder of the driver's.
+    """
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
         return
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tablemere-checkpoint-"))
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        context.setCheckpointDir(shared)  # set after the context began
+    elif context.master == "local" or context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablemere-checkpoint-"))
+    else:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

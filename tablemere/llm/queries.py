@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from tablemere.llm import bpe, langid, mixing, quality, rules, secrets, simhash,
 from tablemere.llm.common import crc_mod, read_table
 
 #: Where the tokenizers file is, on the driver.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 Query = Callable[[SparkSession, str], DataFrame]
 

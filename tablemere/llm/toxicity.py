@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemere.llm.common import bounded_sample, checkpoint, map_texts, text_buffer
+from tablemere.llm.common import SLICE_BYTES, bounded_sample, checkpoint, map_texts, text_buffer
 
-#: Bound of the training sample: labelled documents of either label, and the longest that are taken.
-TRAIN_ROWS, TRAIN_CHARS = 2000, 20_000
+#: Bound of the training sample: labelled documents of either label, the longest that are taken, and, where ids repeat, so many times that of texts.
+TRAIN_ROWS, TRAIN_CHARS, REPEATS = 2000, 20_000, 4
 LANDMARKS, ROUNDS, NEGATIVES = 384, 3, 4000
 #: A training text with more than this part of its runs of five words seen in others is a copy, and counts once.
 COPY = 0.3
@@ -72,6 +72,23 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return signs, borders, owner[borders[:-1] + 1] if len(borders) > 1 else np.zeros(0, np.int64)
 
 
+def _parts(data: np.ndarray, size: int):
+    """A text in parts of about ``size`` bytes, parted at spaces between words of two signs or more, which nothing joins."""
+    at = 0
+    while at < len(data):
+        to = min(len(data), at + size)
+        while to < len(data):
+            near = _CLASS[data[at : min(len(data), to + 2)]]
+            letter = (near != 0) & (near != _DROP)
+            cuts = np.flatnonzero((near[2:-2] == 0) & letter[:-4] & letter[1:-3] & letter[3:-1] & letter[4:]) + 2
+            if len(cuts):
+                to = at + int(cuts[-1])
+                break
+            to = min(len(data), to + size)
+        yield data[at:to]
+        at = to
+
+
 def _spans(signs: np.ndarray, borders: np.ndarray):
     """(gap weight, first places, codes) of all subsequences of three that stay within one word and its borders."""
     ahead = np.repeat(borders[1:], np.diff(borders)) - np.arange(borders[0], borders[-1]) if len(borders) > 1 else np.zeros(0, np.int64)
@@ -149,6 +166,12 @@ class ToxicModel:
 
     def margins(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Of each whole text the margins of its TOP most toxic words, FLOOR for those it lacks or that are below."""
+        if len(offs) == 2 and len(data) > 2 * SLICE_BYTES:
+            found = [self._margins(part, np.array([0, len(part)]))[0] for part in _parts(data, SLICE_BYTES)]
+            return np.sort(np.concatenate(found))[None, : -TOP - 1 : -1]
+        return self._margins(data, offs)
+
+    def _margins(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         signs, borders, owner = words(data, offs)
         own = sums(signs, borders, self.weights) + self.bias
         out = np.full((len(offs) - 1, TOP), FLOOR)
@@ -250,8 +273,6 @@ def train(texts: list[str], labels: np.ndarray, share: float = 0.5, seed: int =
             found[y[d], np.unique(np.concatenate([c for _, _, c in _spans(*_joined(own[d]))]))] += 1
     odds = np.log((found[1] + 2) / (len(bad) + 4)) - np.log((found[0] + 2) / (single[good].sum() + 4))
     weights, bias = np.maximum(odds, -3).astype(np.float32), 0.0
-    streams = {d: _joined(own[d]) for d in bad}
-    streams = {d: _joined(own[d]) for d in bad}
     texts_with = Counter(w for d in bad for w in own[d])
     held = [sum(len(own[d]) for d in ds if single[d]) for ds in (bad, good)]
     least = np.log(CHANCE / len(texts_with)) / np.log(held[0] / max(1, sum(held)) * 0.999)
@@ -294,14 +315,16 @@ def fit(
     """Learn from at most ``rows`` documents of either label, those with the least hash of id.
 
     Only labelled documents of up to TRAIN_CHARS characters are learned from, and
-    rows without id, label or text don't count.
+    rows without id, label or text don't count. Where an id has several labels or
+    texts, each pair is a row; of more than REPEATS times ``rows`` pairs those
+    with the least hash are learned from.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(doc_id, F.col(label).cast("int").alias("_label"))
     share = known.agg(F.avg("_label")).first()[0]
     few = checkpoint(bounded_sample(known.where("_label = 0"), doc_id, rows).union(bounded_sample(known.where("_label = 1"), doc_id, rows)))
     found = (
         docs.where(F.length(text) <= TRAIN_CHARS).select(doc_id, text).join(F.broadcast(few), doc_id)
-        .select("_label", F.col(text).alias("t")).orderBy("t", "_label").limit(4 * rows).collect()
+        .select("_label", F.col(text).alias("t")).orderBy(F.xxhash64("t", "_label"), "t", "_label").limit(REPEATS * rows).collect()
     )
     return train([r["t"] for r in found], np.array([r["_label"] for r in found], np.int64), share if share is not None else 0.5)
 
@@ -309,9 +332,10 @@ def fit(
 def score(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every whole text: the probability that its most toxic words make it toxic.
 
-    Null texts count as empty; texts without a word get the score of FLOOR;
-    repeated rows give repeated rows; an empty table gives none. Other columns
-    are not read.
+    Null texts count as empty; texts without a word get the score of FLOOR; very
+    long texts are read whole, some megabytes at a time; words that tie count
+    each; repeated rows give repeated rows; an empty table gives none. Other
+    columns are not read.
     """
 
     def run(data: np.ndarray, offs: np.ndarray) -> dict[str, object]:

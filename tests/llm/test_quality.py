@@ -1,5 +1,7 @@
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -87,3 +89,36 @@ def test_edges(spark, edge_docs, empty_docs, labels):
     rows = quality.score(edge_docs, forest).collect()
     assert len(rows) == edge_docs.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert quality.score(empty_docs, forest).count() == 0
+
+
+def test_a_long_text_in_parts_has_the_whole_s_statistics(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = np.array(["a", "bb", "é", "long" * 30, "x#", "12", "!", "\n", "\n\n", "Word", "the"])
+    for k in range(30):
+        text = " ".join(rng.choice(words, int(rng.integers(0, 400)))) + ["", " ", "\n", " x"][k % 4]
+        buffer = text_buffer(pa.array([text]))
+        want = quality.statistics(*buffer)
+        for size in (1, 7, 64, 1000):
+            np.testing.assert_allclose(quality._long_statistics(buffer[0], size), want[0], atol=1e-12)
+    monkeypatch.setattr(quality, "SLICE_BYTES", 100)
+    long = "one two three four five six\n" * 50
+    np.testing.assert_allclose(quality.statistics(*text_buffer(pa.array([long])))[0], slow_statistics(long), atol=1e-12)
+
+
+def test_memory_of_a_text_of_100_mb():
+    code = """
+import resource, numpy as np
+from tablemere.llm import langid, quality
+rng = np.random.default_rng(1)
+words = [bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(2, 12, 20000)]
+data = np.frombuffer(b" ".join(words[k] for k in rng.integers(0, len(words), 1 << 17)) * 130, np.uint8)[:100_000_000]
+offs, model = np.array([0, len(data)]), langid.build({"a": ["the cat sat"], "b": ["el gato"]})
+used = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before = used()
+quality.statistics(data, offs)
+one = used() - before
+langid.LanguageModel.classify(model, data, offs)
+print(one, used() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert all(float(x) < 1000 for x in out), out

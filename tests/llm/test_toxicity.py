@@ -83,3 +83,16 @@ def test_edges(spark, edge_docs, empty_docs, labels):
     rows = toxicity.score(edge_docs, model).collect()
     assert len(rows) == edge_docs.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.score(empty_docs, model).count() == 0
+
+
+def test_a_very_long_text_is_read_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = toxicity.ToxicModel(rng.normal(size=toxicity._SIZE).astype(np.float32), -0.1, np.ones((2, toxicity.TOP)), np.zeros(2))
+    parts = np.array(["a", "b c", "word", "i d i o t", "é", "x9y", "two  words", "\n", "-", "longer", "z"])
+    for _ in range(20):
+        data, offs = text_buffer(pa.array([" ".join(rng.choice(parts, 300))]))
+        want = model.margins(data, offs)
+        monkeypatch.setattr(toxicity, "SLICE_BYTES", 40)
+        got = model.margins(data, offs)
+        monkeypatch.undo()
+        np.testing.assert_allclose(got, want, atol=1e-9)
