@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemere.errors import InvalidQuery, UnsupportedType
+from tablemere.functions.names import quoted
 from tablemere.functions.semantics import Semantics
 from tablemere.functions.types import NUMERIC, logical_type
 
@@ -58,7 +59,7 @@ def aggregate(fn: str, name: str, kind: T.DataType | None, semantics: Semantics)
             raise InvalidQuery(f"{fn}(*) has no meaning")
         out = rows
     else:
-        col, logical = F.col(f"`{name}`"), logical_type(kind)
+        col, logical = F.col(quoted(name)), logical_type(kind)
         takes = NUMERIC if fn in ("SUM", "AVG") else (*NUMERIC, "STRING") if semantics.zero_for_null else None
         if fn != "COUNT" and ((takes and logical not in takes) or logical == "BOOLEAN"):
             raise UnsupportedType(f"{fn} doesn't take columns of type {logical}")
@@ -75,4 +76,4 @@ def aggregate(fn: str, name: str, kind: T.DataType | None, semantics: Semantics)
 
 def column_counts(names: list[str]) -> list[Column]:
     """For one pass over a table: its rows, then the nulls of each column."""
-    return [F.count(F.lit(1)).alias("rows")] + [F.count_if(F.col(f"`{n}`").isNull()).alias(f"n{i}") for i, n in enumerate(names)]
+    return [F.count(F.lit(1)).alias("rows")] + [F.count_if(F.col(quoted(n)).isNull()).alias(f"n{i}") for i, n in enumerate(names)]

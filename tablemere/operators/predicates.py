@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tablemere.errors import InvalidQuery
 from tablemere.functions.literals import instant, is_number, narrowed, text_of, to_integer
+from tablemere.functions.names import quoted
 from tablemere.functions.semantics import Semantics
 from tablemere.functions.types import logical_type
 
@@ -93,7 +94,7 @@ def _floating(col: Column, lit: Column, value: float, op: str, semantics: Semant
 
 
 def _checked(name: str, kind: T.DataType, op: str, value: object, semantics: Semantics) -> Column:
-    col, logical = F.col(f"`{name}`"), logical_type(kind)
+    col, logical = F.col(quoted(name)), logical_type(kind)
     if op == "IS_NULL":
         return col.isNull()
     if op == "IS_NOT_NULL":
@@ -135,4 +136,4 @@ def predicate(name: str, kind: T.DataType, op: str, value: object, semantics: Se
 
 def text_equals(name: str, value: str) -> Column:
     """Whether the cell, written as text, is this text; null cells are not."""
-    return F.col(f"`{name}`").cast("string") == F.lit(value)
+    return F.col(quoted(name)).cast("string") == F.lit(value)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemere.errors import InvalidQuery, UnknownColumn
+from tablemere.functions.names import col
 from tablemere.functions.semantics import ANSI, Semantics
 from tablemere.operators.aggregates import aggregate
 from tablemere.operators.predicates import predicate
@@ -56,7 +57,7 @@ def compiled(df: DataFrame, spec: QuerySpec, semantics: Semantics = ANSI) -> Dat
         df, skip, count = _first(df, count, skip, []), 0, -1
     if not spec.groups and not spec.aggregates:
         _known(df, [o.column for o in spec.order])
-        return _first(df, count, skip, _keys(spec)).select(*[F.col(f"`{c}`") for c in columns])
+        return _first(df, count, skip, _keys(spec)).select(*[col(c) for c in columns])
     loose = [c for c in columns if c not in spec.groups and c not in {a.column for a in spec.aggregates}]
     if loose:
         raise InvalidQuery(f"column {loose[0]!r} is neither grouped nor aggregated")
@@ -65,7 +66,7 @@ def compiled(df: DataFrame, spec: QuerySpec, semantics: Semantics = ANSI) -> Dat
     if len(set(names)) < len(names):
         raise InvalidQuery("two result columns have one name")
     made = [aggregate(a.function, a.column, kinds.get(a.column), semantics).alias(a.name) for a in spec.aggregates]
-    by = [F.col(f"`{g}`") for g in dict.fromkeys(spec.groups)]
+    by = [col(g) for g in dict.fromkeys(spec.groups)]
     if made:
         out = df.groupBy(*by).agg(*made)
     else:
@@ -73,8 +74,8 @@ def compiled(df: DataFrame, spec: QuerySpec, semantics: Semantics = ANSI) -> Dat
     for o in spec.order:
         if o.column not in names:
             raise UnknownColumn(f"the result has no column {o.column!r} to sort by")
-    return _first(out, count, skip, _keys(spec)).select(*[F.col(f"`{n}`") for n in names])
+    return _first(out, count, skip, _keys(spec)).select(*[col(n) for n in names])
 
 
 def _keys(spec: QuerySpec) -> list[Column]:
-    return [F.asc_nulls_first(f"`{o.column}`") if o.ascending else F.desc_nulls_last(f"`{o.column}`") for o in spec.order]
+    return [col(o.column).asc_nulls_first() if o.ascending else col(o.column).desc_nulls_last() for o in spec.order]

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemere.engine import Engine, per_shard_limit, union_of
+from tablemere.errors import EngineError
 from tablemere.functions.semantics import ANSI, REFERENCE, Semantics
 from tablemere.plans.spec import QuerySpec
 from tablemere.sources.rows import POSITION, hidden, scan
-from tablemere.sources.sinks import csv_lines, json_lines
+from tablemere.sources.sinks import csv_lines, envelope_text, json_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -510,13 +512,112 @@ def load_by_place(spark: SparkSession, d: str) -> DataFrame:
     return engine.query(_q("names"))
 
 
-@_query("SELECT epoch_us(o_orderdate) AS day, COUNT(*) AS c FROM orders WHERE o_custkey <= 20 GROUP BY 1")
+@_query("SELECT epoch_us(o_orderdate) AS day, COUNT(*) AS c FROM orders GROUP BY 1")
 def load_timestamps_as_numbers(spark: SparkSession, d: str) -> DataFrame:
     engine = Engine(spark)
     columns = [("o_orderkey", "LONG", True), ("o_custkey", "LONG", True), ("o_orderstatus", "STRING", True), ("o_totalprice", "DOUBLE", True), ("day", "LONG", True), ("o_orderpriority", "STRING", True)]
     engine.catalog.create("orders", columns)
     engine.catalog.load_parquet("orders", f"{d}/orders.parquet")
-    return engine.query(QuerySpec("orders").where("o_custkey", "<=", 20).group_by("day").aggregate("COUNT", "*", "c"))
+    return engine.query(QuerySpec("orders").group_by("day").aggregate("COUNT", "*", "c"))
+
+
+@_query("SELECT 'n_nationkey,n_name,n_regionkey' AS names, COUNT(*) AS row_count, COUNT(n_name) AS rows FROM nation")
+def result_envelope(spark: SparkSession, d: str) -> DataFrame:
+    made = json.loads("".join(envelope_text(_on(spark, d, _q("nation")))))
+    row = (",".join(made["columns"]), made["rowCount"], sum(r["n_name"] is not None for r in made["rows"]))
+    return spark.createDataFrame([row], "names string, row_count long, rows long")
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 ORDER BY c_custkey LIMIT 4")
+def lookup_limit(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.catalog.create_from_parquet("customer", f"{d}/customer.parquet")
+    return engine.lookup("customer", "c_nationkey", "3", limit=4).select("c_custkey", "c_name")
+
+
+@_query("SELECT * FROM (VALUES ('created', true, 5), ('dropped', false, 0)) AS t(step, there, rows)")
+def drop_and_exists(spark: SparkSession, d: str) -> DataFrame:
+    catalog, found = Engine(spark).catalog, []
+    catalog.create_from_parquet("region", f"{d}/region.parquet")
+    found.append(("created", catalog.exists("region"), catalog.rows("region").count()))
+    catalog.drop("region")
+    found.append(("dropped", catalog.exists("region"), 0))
+    return spark.createDataFrame(found, "step string, there boolean, rows int")
+
+
+@_query(
+    "SELECT p_partkey || ',' || CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN '\"' || p_name || ', \"\"' || p_brand || '\"\"\"' ELSE p_name END "
+    "|| ',' || p_size AS line FROM part"
+)
+def csv_quotes_and_nulls(spark: SparkSession, d: str) -> DataFrame:
+    third = F.col("p_partkey") % 3
+    name = F.when(third == 1, F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"'))).when(third == 2, F.col("p_name"))
+    return csv_lines(_on(spark, d, _q("part", "p_partkey", "text", "p_size"), text=name))
+
+
+@_query(r"""SELECT '{"n_nationkey":' || n_nationkey || ',"text":"' || n_name || '\"\\\n\t/","none":null}' AS line FROM nation""")
+def json_escapes(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat("n_name", F.lit('"\\\n\t/'))
+    return json_lines(_on(spark, d, _q("nation", "n_nationkey", "text", "none"), text=text, none=F.lit(None).cast("string")))
+
+
+@_query("SELECT * FROM (VALUES ('aggregate', 'UnsupportedType'), ('bare column', 'InvalidQuery'), ('column', 'UnknownColumn'), ('condition', 'UnknownColumn')) AS t(request, refused)")
+def refused_requests(spark: SparkSession, d: str) -> DataFrame:
+    requests = {
+        "column": _q("nation", "n_none"), "condition": _q("nation").where("n_none", "=", 1),
+        "aggregate": QuerySpec("nation").aggregate("SUM", "n_name", "s"), "bare column": _q("nation", "n_name").aggregate("COUNT", "*", "c"),
+    }
+    found = []
+    for name, spec in requests.items():
+        try:
+            _on(spark, d, spec)
+        except EngineError as e:
+            found.append((name, type(e).__name__))
+    return spark.createDataFrame(found, "request string, refused string")
+
+
+@_query("SELECT COUNT(*) AS c FROM nation")
+def load_with_batch_size(spark: SparkSession, d: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.catalog.create_schema_from_parquet("nation", f"{d}/nation.parquet")
+    engine.catalog.load_parquet("nation", f"{d}/nation.parquet", batch_size=3)
+    return engine.query(QuerySpec("nation").aggregate("COUNT", "*", "c"))
+
+
+#: Operators as JSON requests and as SQL have them.
+_COMPARED = {"EQUALS": "=", "NOT_EQUALS": "<>", "LESS_THAN": "<", "LESS_THAN_OR_EQUALS": "<=", "GREATER_THAN": ">", "GREATER_THAN_OR_EQUALS": ">="}
+
+
+def _each_operator(spark: SparkSession, d: str, table: str, column: str, value: object, **derived: Column) -> DataFrame:
+    """(op, c): the rows that satisfy each comparison with a value."""
+    found = [
+        _on(spark, d, QuerySpec(table).where(column, op, value).aggregate("COUNT", "*", "c"), **derived).select(F.lit(op).alias("op"), "c") for op in _COMPARED
+    ]
+    return union_of(found)
+
+
+def _each_sql(table: str, column: str, value: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{op}' AS op, COUNT(*) AS c FROM {table} WHERE {column} {sign} {value}" for op, sign in _COMPARED.items())
+
+
+@_query(_each_sql("orders", "o_custkey", "70"))
+def compare_long(spark: SparkSession, d: str) -> DataFrame:
+    return _each_operator(spark, d, "orders", "o_custkey", 70)
+
+
+@_query(_each_sql("part", "CAST(p_retailprice AS FLOAT)", "CAST(950.5 AS FLOAT)"))
+def compare_float(spark: SparkSession, d: str) -> DataFrame:
+    return _each_operator(spark, d, "part", "price", 950.5, price=F.col("p_retailprice").cast("float"))
+
+
+@_query(_each_sql("orders", "o_orderdate", "TIMESTAMP '1996-01-02 00:00:00'"))
+def compare_timestamp(spark: SparkSession, d: str) -> DataFrame:
+    return _each_operator(spark, d, "orders", "o_orderdate", 820540800000)
+
+
+@_query(_each_sql("orders", "CAST(o_orderdate AS DATE)", "DATE '1996-01-02'"))
+def compare_date(spark: SparkSession, d: str) -> DataFrame:
+    return _each_operator(spark, d, "orders", "day", "1996-01-02", day=F.col("o_orderdate").cast("date"))
 
 
 def queries() -> dict[str, Query]:

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemere.errors import InvalidDefinition, SchemaMismatch, TableExists, TableNotFound
+from tablemere.functions.names import col
 from tablemere.functions.types import ColumnDef, logical_type, spark_type
 from tablemere.operators.aggregates import column_counts
 from tablemere.sources import parquet
-from tablemere.sources.rows import POSITION, first_rows, hidden, placed, scan, visible
+from tablemere.sources.rows import POSITION, first_rows, hidden, leading, placed, scan, visible
 
 
 @dataclass(frozen=True)
@@ -30,20 +32,35 @@ class Table:
     rows: DataFrame
     plain: DataFrame
     loads: int = 0
+    #: Each load as what gives its rows up to a number of them, and how many it gives; None where only ``rows`` has them.
+    parts: tuple[Callable[[int], tuple[DataFrame, int]], ...] | None = ()
+
+    def head(self, n: int) -> DataFrame:
+        """Rows with positions, the first ``n`` in order of loading among them: of whole Parquet loads only the first files that hold these."""
+        if n <= 0 or not self.parts:
+            return self.rows
+        found, left = [], n
+        for load, part in enumerate(self.parts):
+            if left <= 0:
+                break
+            rows, held = part(left)
+            found.append(rows.withColumn(POSITION[0], F.lit(load)))
+            left -= held
+        return reduce(DataFrame.union, found)
 
 
 def _typed(name: str, declared: ColumnDef, have: T.DataType) -> Column:
     """A loaded column under its declared name and type."""
-    col, want = F.col(f"`{name}`"), spark_type(declared.type)
+    loaded, want = col(name), spark_type(declared.type)
     if logical_type(have) == declared.type:
-        return col.alias(declared.name)
+        return loaded.alias(declared.name)
     if isinstance(have, T.TimestampNTZType) and declared.type == "LONG":  # the raw number
-        return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), col).alias(declared.name)
+        return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), loaded).alias(declared.name)
     if isinstance(have, T.TimestampType) and declared.type == "LONG":
-        return F.unix_micros(col).alias(declared.name)
+        return F.unix_micros(loaded).alias(declared.name)
     if isinstance(have, T.DateType) and declared.type == "INTEGER":
-        return F.unix_date(col).alias(declared.name)
-    return col.cast(want).alias(declared.name)
+        return F.unix_date(loaded).alias(declared.name)
+    return loaded.cast(want).alias(declared.name)
 
 
 class Catalog:
@@ -83,8 +100,10 @@ class Catalog:
             raise TableExists(f"table {name!r} exists")
         columns = tuple(parquet.inferred(self.spark, path))
         if load:
-            rows = first_rows(scan(self.spark, path), row_limit)
-            return self._add(Table(name, columns, rows, hidden(rows) if row_limit > 0 else self.spark.read.parquet(path), 1))
+            if row_limit > 0:
+                rows = first_rows(leading(self.spark, path, row_limit)[0], row_limit)
+                return self._add(Table(name, columns, rows, hidden(rows), 1, None))
+            return self._add(Table(name, columns, scan(self.spark, path), self.spark.read.parquet(path), 1, (partial(leading, self.spark, path),)))
         kinds = {f.name: f.dataType for f in self.spark.read.parquet(path).schema.fields}
         rows = self._empty(columns, kinds)
         return self._add(Table(name, columns, rows, hidden(rows)))
@@ -95,10 +114,10 @@ class Catalog:
     def register(self, name: str, df: DataFrame, ordered: DataFrame | None = None) -> Table:
         """A table of any DataFrame's rows, with the positions they have; ``ordered``: the same rows with positions."""
         columns = tuple(ColumnDef(f.name, logical_type(f.dataType), f.nullable) for f in df.schema.fields if f.name not in POSITION)
-        return self._add(Table(name, columns, placed(df if ordered is None else ordered), hidden(df), 1))
+        return self._add(Table(name, columns, placed(df if ordered is None else ordered), hidden(df), 1, None))
 
-    def _appended(self, name: str, more: DataFrame, plain: DataFrame | None = None) -> int:
-        """Add rows, columns by place; all of them or, if a NOT NULL column would get a null, none."""
+    def _appended(self, name: str, more: DataFrame, plain: DataFrame | None = None, path: str | None = None) -> int:
+        """Add rows, columns by place; all of them or, if a NOT NULL column would get a null, none. ``path``: the whole file they are."""
         table = self.get(name)
         names = visible(more)
         if len(names) != len(table.columns):
@@ -106,15 +125,24 @@ class Catalog:
         kinds = {f.name: f.dataType for f in more.schema.fields}
         typed = [_typed(n, c, kinds[n]) for n, c in zip(names, table.columns, strict=True)]
         made, bare = more.select(*typed, *POSITION), (more if plain is None else plain).select(*typed)
-        counts = bare.agg(*column_counts([c.name for c in table.columns])).first()
-        for i, c in enumerate(table.columns):
-            if not c.nullable and counts[i + 1]:
-                raise SchemaMismatch(f"{counts[i + 1]} nulls for column {c.name!r}, which has none")
+        strict = [c.name for c in table.columns if not c.nullable]
+        counts = bare.agg(*column_counts(strict)).first()  # rows alone are in the footers
+        for i, c in enumerate(strict):
+            if counts[i + 1]:
+                raise SchemaMismatch(f"{counts[i + 1]} nulls for column {c!r}, which has none")
+
+        def part(n: int) -> tuple[DataFrame, int]:
+            if path is None:
+                return made, counts["rows"]
+            rows, held = leading(self.spark, path, n)
+            return rows.select(*typed, *POSITION), held
+
         with self._lock:
             now = self._tables[name]
             rows = made.withColumn("__load", F.lit(now.loads))
             both = (now.rows.union(rows), now.plain.union(bare)) if now.loads else (rows, bare)
-            self._tables[name] = replace(now, rows=both[0], plain=both[1], loads=now.loads + 1)
+            parts = None if now.parts is None else (*now.parts, part)
+            self._tables[name] = replace(now, rows=both[0], plain=both[1], loads=now.loads + 1, parts=parts)
         return counts["rows"]
 
     def load_parquet(self, name: str, path: str, row_limit: int = -1, batch_size: int | None = None) -> int:
@@ -123,8 +151,9 @@ class Catalog:
         ``batch_size`` is taken and has no effect: Spark sizes its own batches.
         """
         parquet.check_fits(self.spark, path, list(self.get(name).columns))
-        rows = first_rows(scan(self.spark, path), row_limit)
-        return self._appended(name, rows, None if row_limit > 0 else self.spark.read.parquet(path))
+        if row_limit > 0:
+            return self._appended(name, first_rows(leading(self.spark, path, row_limit)[0], row_limit))
+        return self._appended(name, scan(self.spark, path), self.spark.read.parquet(path), path)
 
     def append(self, name: str, rows: list[tuple]) -> int:
         """Append rows given by value, columns in order."""
@@ -165,7 +194,7 @@ class Catalog:
 
     def preview(self, name: str, limit: int = 10) -> DataFrame:
         """The first rows in order of loading; none if ``limit`` is 0 or less."""
-        rows = self.get(name).rows
+        rows = self.get(name).head(limit)
         return hidden(first_rows(rows, limit) if limit > 0 else rows.limit(0))
 
     def stats(self, name: str) -> DataFrame:

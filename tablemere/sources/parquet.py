@@ -41,6 +41,23 @@ def footer(spark: SparkSession, path: str) -> list[Field]:
         reader.close()
 
 
+def leading_files(spark: SparkSession, path: str, rows: int) -> tuple[list[str], int]:
+    """The first data files by name that hold ``rows`` rows together, or all files, and how many they hold: by their footers, read as far as needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    taken, held = [], 0
+    for name in sorted(spark.read.parquet(path).inputFiles()):
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(name))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf))
+        try:
+            held += reader.getRecordCount()
+        finally:
+            reader.close()
+        taken.append(at.toString())
+        if held >= rows:
+            break
+    return taken, held
+
+
 def inspect(spark: SparkSession, path: str) -> DataFrame:
     """(position, name, type, repetition) of each field; nested fields are refused."""
     fields = footer(spark, path)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablemere.functions.names import col
+
 
 def _cell(name: str) -> Column:
     """A cell as CSV text: quoted only where commas, quotes or line ends need it; null is empty."""
-    text = F.col(f"`{name}`").cast("string")
+    text = col(name).cast("string")
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.coalesce(F.when(text.rlike('[,"\n\r]'), quoted).otherwise(text), F.lit(""))
 
@@ -23,8 +26,8 @@ def csv_lines(df: DataFrame) -> DataFrame:
 def json_lines(df: DataFrame) -> DataFrame:
     """(line): each row as a JSON object with all columns in order, nulls included; NaN and infinities are null."""
     finite = [
-        F.when(F.isnan(c) | F.col(f"`{c}`").isin(float("inf"), float("-inf")), None).otherwise(F.col(f"`{c}`")).alias(c)
-        if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in df.dtypes
+        F.when(F.isnan(col(c)) | col(c).isin(float("inf"), float("-inf")), None).otherwise(col(c)).alias(c)
+        if kind in ("double", "float") else col(c).alias(c) for c, kind in df.dtypes
     ]
     return df.select(F.to_json(F.struct(*finite), {"ignoreNullFields": "false"}).alias("line"))
 
@@ -60,11 +63,21 @@ def json_text(df: DataFrame) -> Iterator[str]:
     yield "[]" if first else "\n]"
 
 
+def envelope_text(df: DataFrame) -> Iterator[str]:
+    """A JSON object with the columns' names, the rows and, last, their number, a partition at a time on the driver."""
+    n = 0
+    yield f'{{"columns": {json.dumps(df.columns, ensure_ascii=False)}, "rows": ['
+    for row in json_lines(df).toLocalIterator():
+        yield (", " if n else "") + row["line"]
+        n += 1
+    yield f'], "rowCount": {n}}}'
+
+
 def text_table(df: DataFrame, rows: int = 20) -> str:
     """The first rows as a padded table, NULL for nulls."""
     cells = [[("NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v)) for v in r] for r in df.take(rows)]
     if not cells:
         return "(empty result)"
-    widths = [max(len(x) for x in col) + 2 for col in zip(df.columns, *cells, strict=True)]
+    widths = [max(len(x) for x in column) + 2 for column in zip(df.columns, *cells, strict=True)]
     line = lambda values: "".join(v.ljust(w) for v, w in zip(values, widths, strict=True)).rstrip()
     return "\n".join([line(df.columns), "-" * sum(widths), *map(line, cells)])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemere.errors import InvalidQuery
+from tablemere.functions.names import quoted
 from tablemere.functions.semantics import ANSI, Semantics
 from tablemere.plans.compile import filtered
 from tablemere.plans.spec import QuerySpec
@@ -20,4 +21,4 @@ def on_stream(stream: DataFrame, spec: QuerySpec, semantics: Semantics = ANSI) -
     if spec.order or spec.count > 0 or spec.skip > 0 or spec.groups or spec.aggregates:
         raise InvalidQuery("streams take conditions and columns only")
     columns = stream.columns if spec.columns in ((), ("*",)) else list(dict.fromkeys(spec.columns))
-    return filtered(stream, spec, semantics).select(*[F.col(f"`{c}`") for c in columns])
+    return filtered(stream, spec, semantics).select(*[F.col(quoted(c)) for c in columns])
