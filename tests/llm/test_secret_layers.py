@@ -60,3 +60,31 @@ def test_large_layers_are_scanned_in_windows(monkeypatch):
         for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
             body = (b"x y " * 10_000)[:at] + ASSIGN.encode() + b" z" * 8000
             assert "assign" in found(b64(pack(body))), (at, pack)
+
+
+def slow_spans(text):
+    """The worklist without any memory of what was on it: every layer is scanned and unwrapped wherever it comes from."""
+    found, work = set(secrets.base_spans(text)), list(secrets._decoded(secrets._Layer(text)))
+    while work:
+        layer = work.pop()
+        if layer.text:
+            found |= {(kind, *layer.span(i, j)) for kind, i, j in secrets.base_spans(layer.text)}
+            work += secrets._decoded(layer)
+    return secrets._ordered(found)
+
+
+def test_against_a_worklist_without_deduplication():
+    rng = random.Random(11)
+    wrap = [b64, lambda t: b64(gzip.compress(t.encode())), lambda t: "".join(f"%{b:02x}" for b in t.encode()), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: f"<{t}>", lambda t: f"{t} {t}"]
+    some = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            body = rng.choice([ASSIGN, KEY, "plain words", "0123456789abcdef" * 2, "x%41y"])
+            for _ in range(rng.randrange(3)):
+                body = rng.choice(wrap)(body)
+            parts += [body] * rng.choice((1, 1, 2))
+        text = " ".join(parts)
+        assert every(text) == slow_spans(text), text
+        some += bool(every(text))
+    assert some > 30
