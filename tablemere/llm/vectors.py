@@ -14,8 +14,8 @@ from tablemere.llm.components import connected_components, contracted, star_edge
 
 #: Rows the rotation and the ranges are fitted on; they steer the work, never the result.
 FIT_ROWS = 20_000
-#: Most rows of a tile, least number of tiles aimed at, most ranges of the leading component.
-TILE_ROWS, TILES, RANGES = 8192, 16, 4096
+#: Most components in a tile (about 40 bytes each in a worker), fewest rows it is cut to for that, number of tiles aimed at, most ranges of the leading component.
+TILE_CELLS, TILE_ROWS, TILES, RANGES = 1 << 21, 512, 16, 4096
 #: Leading dimensions of the first pass and of each further one.
 LEAD, STEP = 16, 16
 #: Rows of a block of a tile, and pairs that go on at once.
@@ -97,14 +97,16 @@ def _pair_batch(one: list, two: list, axes: np.ndarray, least: float, same: bool
     return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y)], ["kind", "a", "b"])
 
 
-def _compare(axes: np.ndarray, least: float):
-    """Over rows sorted by (pair, side): hold one pair's two tiles at a time."""
+def _compare(axes: np.ndarray | None, least: float):
+    """Over rows sorted by (pair, side): hold one pair's two tiles at a time. Without axes components stay in their order."""
+
+    def made(one: list, two: list, same: bool) -> pa.RecordBatch:
+        return _pair_batch(one, two, np.eye(one[0][2].shape[1]) if axes is None else axes, least, same)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, one, two, same = None, [], [], False
         for batch in batches:
             pair, side = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            vecs = _matrix(batch.column(4))
             ids, weights = np.asarray(batch.column(2)), np.asarray(batch.column(3))
             cuts = np.flatnonzero((pair[1:] != pair[:-1]) | (side[1:] != side[:-1])) + 1
             for i, j in zip([0, *cuts], [*cuts, len(pair)], strict=True):
@@ -112,12 +114,12 @@ def _compare(axes: np.ndarray, least: float):
                     continue
                 if pair[i] != now:
                     if now is not None and one and (two or same):
-                        yield _pair_batch(one, two, axes, least, same)
+                        yield made(one, two, same)
                     now, one, two = pair[i], [], []
                 same = side[i] == 2
-                (two if side[i] == 1 else one).append((ids[i:j], weights[i:j], unit(vecs[i:j])))
+                (two if side[i] == 1 else one).append((ids[i:j], weights[i:j], unit(_matrix(batch.column(4).slice(i, j - i)))))
         if now is not None and one and (two or same):
-            yield _pair_batch(one, two, axes, least, same)
+            yield made(one, two, same)
 
     return run
 
@@ -131,7 +133,7 @@ def _usable(vec: str) -> str:
 
 
 def near_duplicates(
-    table: DataFrame, least: float = 0.95, vec_id: str = "vec_id", vec: str = "embedding", tile_rows: int = TILE_ROWS
+    table: DataFrame, least: float = 0.95, vec_id: str = "vec_id", vec: str = "embedding", tile_rows: int | None = None
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
@@ -140,9 +142,14 @@ def near_duplicates(
     links reach, and kept says that it is the row's own. Equal vectors are one
     class from the start. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing; vectors of another length than the
-    most common one are compared among themselves. Rows of equal vec_id count
-    as rows of their own; a null vec_id names no component; an empty table
-    gives none. Other columns are not read.
+    most common one are compared with those of their own length. Very long
+    vectors make tiles of fewer rows. Rows of equal vec_id count as rows of their
+    own; a null vec_id names no component; an empty table gives none. Other
+    columns are not read.
+
+    Every tile is compared with those in reach of its range of the leading
+    component. Where no direction stands out that is most of them, and the work
+    grows with the square of the number of different vectors.
     """
     single = table.schema[vec].dataType.simpleString() == "array<float>"  # half the bytes to move; products are double anyway
     rows = table.select(F.col(vec_id).alias("id"), F.col(vec).cast("array<float>" if single else "array<double>").alias("v"))
@@ -150,13 +157,13 @@ def near_duplicates(
     classes = checkpoint(
         usable.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).withColumn("cid", F.monotonically_increasing_id())
     )
-    lengths = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect()]
-    said = [_links(classes.where(F.size("v") == d), d, least, tile_rows) for d in lengths]
-    if not said:
+    common = classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "d").first()
+    if common is None:
         return rows.select(F.col("id").alias(vec_id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    found = said[0]
-    for more in said[1:]:
-        found = found.union(more)
+    found = _links(classes.where(F.size("v") == common["d"]), common["d"], least, tile_rows or max(TILE_ROWS, TILE_CELLS // common["d"]))
+    odd = classes.where(F.size("v") != common["d"])
+    if not odd.isEmpty():
+        found = found.union(_ragged_links(odd, least, tile_rows))
     found = checkpoint(found)
     counts = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("near"))
     parts = connected_components(contracted(found.where("kind = 1")), "a", "b").select(F.col("node").alias("cid"), "component")
@@ -197,20 +204,16 @@ def _links(classes: DataFrame, dims: int, least: float, tile_rows: int) -> DataF
     at = let(let(F.col("v").cast("array<double>"), place), lambda p: F.size(F.filter(edges, lambda c: c < p)))
     ranged = checkpoint(classes.select("cid", "n", "v", at.cast("long").alias("r")))
     sizes = {r["r"]: r["n"] for r in ranged.groupBy("r").agg(F.count(F.lit(1)).alias("n")).collect()}  # RANGES at most
-    cuts = {r: -(-n // size) for r, n in sizes.items()}
-    first, tiles = {}, 0
-    for r in sorted(cuts):
-        first[r], tiles = tiles, tiles + cuts[r]
+    own = np.array(sorted(sizes))
+    cuts = np.array([-(-sizes[r] // size) for r in own.tolist()])
+    first = np.concatenate(([0], np.cumsum(cuts)))
+    tiles = int(first[-1])
     reach = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-6  # unit vectors farther apart than this in one direction can't link
-    low = lambda r: borders[r - 1] if r else -2.0
-    high = lambda r: borders[r] if r < len(borders) else 2.0
+    low, high = np.concatenate(([-2.0], borders))[own], np.concatenate((borders, [2.0]))[own]
+    begin, end = np.searchsorted(high, low - reach), np.searchsorted(low, high + reach, side="right")
     spark = classes.sparkSession
-    near = [
-        (r, first[r], cuts[r], [(first[q], cuts[q]) for q in sorted(cuts) if low(q) - high(r) <= reach and low(r) - high(q) <= reach])
-        for r in sorted(cuts)
-    ]
     partners = spark.createDataFrame(
-        [(r, f, c, min(p[0] for p in q), max(p[0] + p[1] for p in q)) for r, f, c, q in near],
+        list(zip(own.tolist(), first[:-1].tolist(), cuts.tolist(), first[begin].tolist(), first[end].tolist(), strict=True)),
         "r long, f long, c long, from_tile long, to_tile long",
     )
     placed = ranged.join(F.broadcast(partners), "r").withColumn("t", F.col("f") + F.pmod(F.xxhash64("cid"), "c"))
@@ -225,6 +228,20 @@ def _links(classes: DataFrame, dims: int, least: float, tile_rows: int) -> DataF
     return ordered.mapInArrow(_compare(axes, least), _OUT)
 
 
+def _ragged_links(classes: DataFrame, least: float, tile_rows: int | None) -> DataFrame:
+    """What ``_links`` gives, for vectors of any lengths, each compared with all of its own length, in one job."""
+    sized = classes.select("cid", "n", "v", F.size("v").alias("d"))
+    rows = F.lit(tile_rows) if tile_rows else F.greatest(F.lit(TILE_ROWS), F.floor(F.lit(TILE_CELLS) / F.col("d")))
+    cuts = checkpoint(sized.groupBy("d").agg(F.count(F.lit(1)).alias("c")).select("d", F.ceil(F.col("c") / rows).cast("long").alias("k")))
+    placed = sized.join(cuts, "d").withColumn("t", F.pmod(F.xxhash64("cid"), "k")).withColumn("u", F.explode(F.expr("sequence(0L, k - 1)")))
+    width = F.lit(1 << 20)  # more tiles of one length than that are beyond any table
+    pair = (F.col("d") * width + F.least("t", "u")) * width + F.greatest("t", "u")
+    side = F.when(F.col("t") == F.col("u"), 2).when(F.col("t") < F.col("u"), 0).otherwise(1)
+    prepare_workers(classes.sparkSession)
+    ordered = placed.select(pair.alias("pair"), side.alias("side"), "cid", "n", "v").repartition("pair").sortWithinPartitions("pair", "side")
+    return ordered.mapInArrow(_compare(None, least), _OUT)
+
+
 #: For tables whose vectors are all usable and have ids of their own, as the generated ones.
 ORACLE_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
