@@ -173,6 +173,31 @@ def _compare(bits: int):
     return run
 
 
+def cut_cells(rows: DataFrame, cell: list[str], node: str, tile_rows: int) -> DataFrame:
+    """``rows`` with the ``key`` of their tiles, for cells in which rows of probe 1 ask those of probe 0.
+
+    Cells with more rows than a tile are cut: standing rows by one hash, asking
+    rows by another, and each tile gets one part of either.
+    """
+    sizes = rows.groupBy(*cell).agg(F.sum(F.when(F.col("probe") == 0, 1).otherwise(0)).alias("s"), F.sum("probe").alias("p"))
+    cuts = checkpoint(
+        sizes.where(f"s > {tile_rows} or p > 9 * {tile_rows}").select(
+            *cell, *[F.greatest(F.lit(1), F.ceil(F.col(n) / tile_rows)).cast("long").alias(f"k{n}") for n in ("s", "p")]
+        )
+    )
+    if large := cuts.count():
+        cut = F.broadcast(cuts) if large <= BROADCAST_ROWS else cuts.hint("merge")
+        stands = F.expr("transform(sequence(0L, kp - 1), x -> i * kp + x)")
+        rows = (
+            rows.join(cut, cell, "left").na.fill(1, ["ks", "kp"])
+            .withColumn("i", F.pmod(F.xxhash64(F.lit(1), node), "ks")).withColumn("j", F.pmod(F.xxhash64(F.lit(2), node), "kp"))
+            .withColumn("tile", F.explode(F.when(F.col("probe") == 0, stands).otherwise(F.expr("transform(sequence(0L, ks - 1), x -> x * kp + j)"))))
+        )
+    else:
+        rows = rows.withColumn("tile", F.lit(0).cast("long"))
+    return rows.withColumn("key", F.xxhash64(*cell, "tile"))
+
+
 def links(classes: DataFrame, bits: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Star edges (a, b) that join all distinct fingerprints ``fp`` with up to ``bits`` (at most 3) differing bits.
 
@@ -184,33 +209,7 @@ def links(classes: DataFrame, bits: int = 3, tile_rows: int = TILE_ROWS) -> Data
     if not 0 <= bits <= 3:
         raise ValueError("the halves' grid is exact for 0 to 3 differing bits")
     rows = _grid_rows(classes, segment_bits(classes.count()))
-    sizes = rows.groupBy("half", "cell").agg(
-        F.sum(F.when(F.col("probe") == 0, 1).otherwise(0)).alias("s"), F.sum("probe").alias("p")
-    )
-    cuts = checkpoint(
-        sizes.where(f"s > {tile_rows} or p > 9 * {tile_rows}").select(
-            "half", "cell", *[F.greatest(F.lit(1), F.ceil(F.col(n) / tile_rows)).cast("long").alias(f"k{n}") for n in ("s", "p")]
-        )
-    )
-    if large := cuts.count():
-        cut = F.broadcast(cuts) if large <= BROADCAST_ROWS else cuts.hint("merge")
-        tiled = (
-            rows.join(cut, ["half", "cell"], "left")
-            .na.fill(1, ["ks", "kp"])
-            .withColumn("i", F.pmod(F.xxhash64(F.lit(1), "fp"), "ks"))
-            .withColumn("j", F.pmod(F.xxhash64(F.lit(2), "fp"), "kp"))
-            .withColumn(
-                "tile",
-                F.explode(
-                    F.when(F.col("probe") == 0, F.expr("transform(sequence(0L, kp - 1), x -> i * kp + x)")).otherwise(
-                        F.expr("transform(sequence(0L, ks - 1), x -> x * kp + j)")
-                    )
-                ),
-            )
-        )
-    else:
-        tiled = rows.withColumn("tile", F.lit(0).cast("long"))
-    tiled = tiled.select(F.xxhash64("half", "cell", "tile").alias("key"), "probe", "fp")
+    tiled = cut_cells(rows, ["half", "cell"], "fp", tile_rows).select("key", "probe", "fp")
     prepare_workers(classes.sparkSession)
     ordered = tiled.repartition("key").sortWithinPartitions("key", "probe")
     return ordered.mapInArrow(_compare(bits), "a long, b long")
