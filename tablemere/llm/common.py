@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 SLICE_BYTES = 4 << 20
 #: Most rows of whole texts that Spark hands to a worker at once; bounds the buffers on either side.
 BATCH_ROWS = 2000
+#: Whether Spark deletes an execution's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 
 
@@ -53,11 +56,29 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession):
+    """Executions begun within delete their shuffle files when they end; the session's own setting comes back after."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, True)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written as a table in the shared folder and read again, and its path."""
+    """``df`` written as a table in the shared folder and read again, and its path.
+
+    Nothing reads the shuffles behind it any more, so they go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tablemere-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with _shuffles_deleted(spark):
+        df.write.parquet(path)
     return spark.read.parquet(path), path
 
 
@@ -67,6 +88,21 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop.getParent(), True)
 
 
+class Scratch:
+    """Tables of one operator in the shared folder, each dropped when nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._paths = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        out, self._paths[name] = stored(df, name)
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self._spark, self._paths.pop(name))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
