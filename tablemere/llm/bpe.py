@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tablemere.llm.automaton import SuffixAutomaton
-from tablemere.llm.common import map_texts, prepare_workers
+from tablemere.llm.common import map_texts, prepare_workers, tidied, worker_state
 
 #: Most pieces and bytes of each of the two generations of a worker's cache, the longest piece in it, and pair tests kept.
 CACHE_PIECES, CACHE_BYTES, CACHE_LONGEST, CACHE_PAIRS = 250_000, 80_000_000, 256, 300_000
@@ -213,16 +213,9 @@ class BpeModel:
         return list(map(int, ids.split(","))) if ids else []
 
 
-_models: dict[str, BpeModel] = {}
-
-
 def model_of(source: bytes) -> BpeModel:
     """The model of a tokenizers file's content, built once in each worker process."""
-    key = hashlib.sha256(source).hexdigest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = BpeModel(source)
-    return _models[key]
+    return worker_state(hashlib.sha256(source).hexdigest(), lambda: BpeModel(source))
 
 
 def _texts(data: np.ndarray, offs: np.ndarray) -> Iterator[str]:
@@ -253,7 +246,7 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))
         return {"ids": pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), flat), "intact": np.array(intact, bool)}
 
-    return map_texts(docs, run, [doc_id], text, "ids array<int>, intact boolean")
+    return map_texts(docs, run, [doc_id], text, "ids array<int>, intact boolean", state=True)
 
 
 def decode(encoded: DataFrame, tokenizer: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -268,7 +261,7 @@ def decode(encoded: DataFrame, tokenizer: str, doc_id: str = "doc_id", ids: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema.names)
 
     prepare_workers(encoded.sparkSession)
-    return encoded.select(doc_id, ids).mapInArrow(run, schema)
+    return encoded.select(doc_id, ids).mapInArrow(tidied(run, state=True), schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,4 +281,4 @@ def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
             text_sha.append(hashlib.sha256(back.encode()).hexdigest())
         return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
 
-    return map_texts(docs, run, [doc_id], text, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, run, [doc_id], text, "n_tokens long, ids_sha256 string, decoded_sha256 string", state=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import os
 import sys
@@ -26,6 +28,7 @@ BATCH_ROWS = 2000
 #: Whether Spark deletes an execution's shuffle files at its end.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
+_state: dict[str, object] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -183,13 +186,51 @@ def prepare_workers(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def worker_state(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, built once in a worker process and kept for its next tasks, until one needs another or none."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
+def _forget() -> None:
+    if _state:
+        _state.clear()
+        gc.collect()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidied(run: Callable[..., Iterator[pa.RecordBatch]], state: bool = False) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``run`` of a task that, but with ``state``, drops what other operators' tasks left in its worker, and gives unused memory back at its end.
+
+    Workers outlive their stages, so what they hold would count beside all later ones.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not state:
+            _forget()  # by name: a worker gets a copy of this function's globals, but not of the module's
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return tidy
+
+
 def map_texts(
-    df: DataFrame, fn: Callable[..., dict[str, object]], keep: list[str], text: str, added: str, nulls: bool = False
+    df: DataFrame, fn: Callable[..., dict[str, object]], keep: list[str], text: str, added: str, nulls: bool = False, state: bool = False
 ) -> DataFrame:
     """Apply ``fn(bytes, offsets)`` to slices of a text column; ``keep`` columns pass through.
 
     ``added`` names fn's arrays, in its order, and their types. With ``nulls``
-    fn gets a third argument: whether each text is null.
+    fn gets a third argument: whether each text is null. ``state``: fn keeps a
+    ``worker_state``.
     """
     prepare_workers(df.sparkSession)
     fields = [df.schema[k] for k in keep]
@@ -203,7 +244,7 @@ def map_texts(
 
     # names of the columns that pass through don't matter to the workers, whatever they are
     inner = df.select(*[F.col(_quoted(k)).alias(f"k{i}") for i, k in enumerate(keep)], F.col(_quoted(text)).cast("string").alias("t"))
-    out = inner.mapInArrow(run, schema)
+    out = inner.mapInArrow(tidied(run, state), schema)
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *schema.names[len(keep) :])
 
 

@@ -33,3 +33,27 @@ def test_crc(spark):
 
     df = spark.createDataFrame([(1,), (-5,), (123456789,), (None,)], "doc_id long").select("doc_id", common.crc_mod("doc_id", 5).alias("m"))
     assert all(r["m"] == zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 for r in df.collect())
+
+
+def test_a_worker_holds_one_state_and_drops_it_for_tasks_without():
+    first = common.worker_state("a", lambda: ["a"])
+    assert common.worker_state("a", lambda: ["b"]) is first
+    common.worker_state("b", lambda: ["b"])
+    assert list(common._state) == ["b"]
+    assert list(common.tidied(iter, state=True)([1, 2])) == [1, 2]
+    assert list(common._state) == ["b"]
+    assert list(common.tidied(iter)([1, 2])) == [1, 2]
+    assert not common._state
+
+
+def test_workers_drop_their_state(spark):
+    def held(data, offs):
+        common.worker_state("mine", lambda: [1])
+        return {"n": np.array([len(common._state)] * (len(offs) - 1))}
+
+    def none(data, offs):
+        return {"n": np.array([len(common._state)] * (len(offs) - 1))}
+
+    df = spark.range(8).selectExpr("cast(id AS string) AS t").coalesce(1)
+    got = [{r["n"] for r in common.map_texts(df, fn, [], "t", "n long", state=s).collect()} for fn, s in ((held, True), (none, True), (none, False))]
+    assert got == [{1}, {1}, {0}]
