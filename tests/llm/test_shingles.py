@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -70,6 +71,28 @@ def test_prefixes_share_enough_keys():
                 assert len(np.intersect1d(shingles.prefix(a, common, percent), shingles.prefix(b, common, percent))) >= shingles._shared(percent)
 
 
+def test_parities_fold_to_those_of_a_narrower_width():
+    sets = [np.unique(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64)) for n in (3, 700, 3000)]
+    rows = pa.array([[], *[shingles.parities(x).view(np.int64) for x in sets]], pa.list_(pa.int64())).slice(1)
+    assert rows.value_lengths().to_pylist() == [16, 32, 128]
+    assert (shingles.stacked([rows[:1], rows[1:]]) == np.stack([shingles.parities(x, 1024) for x in sets])).all()
+    assert (shingles.stacked([rows[2:]]) == shingles.parities(sets[2])).all()
+
+
+@pytest.mark.parametrize("listed", [2, 32])
+def test_long_texts_that_share_a_passage_are_no_candidates(spark, monkeypatch, listed):
+    monkeypatch.setattr(shingles, "LISTED", listed)
+    rng = np.random.default_rng(3)
+    texts = [" ".join([*rng.choice(WORDS, 4000), *WORDS[:100]]) for _ in range(4)]  # one passage in all of them
+    own = rng.choice(WORDS, 6000)
+    texts += [" ".join(own), edited(rng, own, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = shingles.classes_of(shingles._prefixes(docs, "doc_id", "text", 5, np.zeros(0, np.uint64), shingles.PERCENT)).cache()
+    keys = sorted(shingles._name(shingles.shingle_set(t.encode())) for t in texts[4:])
+    edges = shingles.candidates(classes, shingles.PERCENT, shingles.Scratch(spark)).collect()
+    assert len(edges) == 1 and sorted(np.array([*edges[0]]).view(np.uint64).tolist()) == keys
+
+
 @pytest.mark.parametrize("cell", [2048, 3])
 def test_crowded_keys_against_all_pairs(spark, monkeypatch, rows, cell):
     monkeypatch.setattr(shingles, "LISTED", 2)
