@@ -30,6 +30,13 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(parts[:, k], minlength=256) @ _BITS for k in range(8)])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashes: the bits set in over half of them."""
+    if not len(hashes):
+        return 0
+    return int.from_bytes(np.packbits(2 * _bit_counts(hashes) > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """64-bit SimHash of one text over word shingles with repeats; no word gives zero."""
     words = text.lower().split()  # on bytes: A-Z alone is lowered, \x20 and \x09-\x0D alone split

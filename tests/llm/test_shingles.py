@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tablemere.llm import shingles
+from tablemere.llm import shingles, simhash
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -102,6 +102,39 @@ def test_crowded_keys_against_all_pairs(spark, monkeypatch, rows, cell):
     assert {r["_id"]: r["component_id"] for r in got.collect()} == slow_firsts(rows)
 
 
+def bits_apart(a, b):
+    x, y = (simhash.majority(shingles.shingle_set(t.encode())) for t in (a, b))
+    return (x ^ y).bit_count()
+
+
+def one_change(rng, words):
+    """A copy with one word changed, and a fingerprint within the grid's bits."""
+    copies = (edited(rng, words, 1) for _ in range(1000))
+    return next(t for t in copies if bits_apart(t, " ".join(words)) <= shingles.BITS)
+
+
+def test_the_grid_finds_copies_without_the_prefix_filter(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "candidates", lambda classes, percent, scratch: scratch.put("candidates", spark.createDataFrame([], "a long, b long")))
+    rng, texts = np.random.default_rng(4), [""]
+    for n in (60, 300, 2000):
+        own = rng.choice(WORDS, n)
+        texts += [" ".join(own), one_change(rng, own), " ".join(own).upper()]
+    got = shingles.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["_id"]: r["component_id"] for r in got.collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 7, 9: 7}
+
+
+def test_what_the_grid_found_is_not_compared_again(spark, monkeypatch):
+    compared, links = [], shingles.links
+    monkeypatch.setattr(shingles, "links", lambda d, percent: compared.append(d.count()) or links(d, percent))
+    rng = np.random.default_rng(6)
+    own, other = rng.choice(WORDS, 300), rng.choice(WORDS, 300)
+    far = next(t for t in (edited(rng, other, 4) for _ in range(1000)) if bits_apart(t, " ".join(other)) > shingles.BITS)
+    rows = list(enumerate([" ".join(own), one_change(rng, own), " ".join(other), far]))
+    got = shingles.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["_id"]: r["component_id"] for r in got.collect()} == slow_firsts(rows) == {0: 0, 1: 0, 2: 2, 3: 2}
+    assert compared == [2, 2]  # one pair by the grid, the other by the prefix filter
+
+
 def test_the_stage_drops_edited_copies(spark):
     rng = np.random.default_rng(1)
     own = rng.choice(WORDS, 300)
