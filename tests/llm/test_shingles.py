@@ -93,6 +93,38 @@ def test_long_texts_that_share_a_passage_are_no_candidates(spark, monkeypatch, l
     assert len(edges) == 1 and sorted(np.array([*edges[0]]).view(np.uint64).tolist()) == keys
 
 
+def test_a_passage_in_a_part_of_the_texts_crowds_no_key(spark, monkeypatch):
+    crowds, crowded = [], shingles._crowded
+    monkeypatch.setattr(shingles, "SAMPLE", 50)  # a fiftieth of the texts, none of the passage's or few, however many there are
+    monkeypatch.setattr(shingles, "_crowded", lambda rows, percent: crowds.append(rows.count()) or crowded(rows, percent))
+    rng = np.random.default_rng(9)
+    texts = [[f"u{w}" for w in rng.integers(1 << 40, size=30)] for _ in range(2500)]
+    for words in texts[:50]:
+        words += WORDS[:16]
+    texts[60] = ["other", *texts[0][1:]]  # and one near copy
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    got = shingles.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["_id"]: r["component_id"] for r in got.collect() if r["_id"] != r["component_id"]} == {60: 0}
+    assert crowds == []  # the passage's shingles are known as common ones, and other ones fill the prefixes
+
+
+def test_common_shingles_by_level(spark, monkeypatch):
+    words = [f"{a} {a}1 {a}2 {a}3 {a}4" for a in "abcd"]  # held by 1, 2, 4 and 9 texts, each but the first by a copy too
+    texts = [f"u{i} {w}" for w, n in zip(words, (1, 2, 4, 9), strict=True) for i in range(n)]
+    docs = spark.createDataFrame([(t,) for t in texts + texts], "text string").repartition(3)
+    held = np.concatenate([shingles.shingle_set(w.encode()) for w in words])
+    assert shingles.common_shingles(docs, "text", 5).tolist() == sorted(np.repeat(held, (0, 1, 2, 3)).tolist())
+    monkeypatch.setattr(shingles, "MOST_COMMON", 2)
+    assert shingles.common_shingles(docs, "text", 5).tolist() == sorted(np.repeat(held, (0, 0, 1, 2)).tolist())
+    assert shingles.common_shingles(docs.limit(0), "text", 5).tolist() == []
+
+
+def test_prefixes_have_rarer_shingles_first():
+    hashes = np.arange(10, dtype=np.uint64)
+    common = np.sort(np.repeat(hashes[:8], (3, 1, 1, 2, 2, 1, 3, 1)))
+    assert shingles.prefix(hashes, common).tolist() == [8, 9, 1, 2, 5]
+
+
 @pytest.mark.parametrize("cell", [2048, 3])
 def test_crowded_keys_against_all_pairs(spark, monkeypatch, rows, cell):
     monkeypatch.setattr(shingles, "LISTED", 2)
