@@ -20,14 +20,18 @@ def function_named(name: str) -> str:
     return name.upper()
 
 
+def wrapped_long(col: Column) -> Column:
+    """A whole decimal as a LONG that wraps around."""
+    half, whole = F.lit(str(1 << 63)).cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(21,0)")
+    return (F.pmod(col + half, whole) - half).cast("long")
+
+
 def wrapped_sum(col: Column, logical: str) -> Column:
     """SUM in the type of its input: integers wrap around, floats are summed as doubles and rounded once."""
     if logical == "INTEGER":
         return F.shiftright(F.shiftleft(F.sum(col.cast("long")), 32), 32).cast("int")
     if logical == "LONG":
-        half, whole = F.lit(str(1 << 63)).cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(21,0)")
-        total = F.sum(col.cast("decimal(19,0)")).cast("decimal(38,0)")
-        return (F.pmod(total + half, whole) - half).cast("long")
+        return wrapped_long(F.sum(col.cast("decimal(19,0)")).cast("decimal(38,0)"))
     return F.sum(col).cast("float" if logical == "FLOAT" else "double")
 
 

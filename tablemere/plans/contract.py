@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablemere.engine import Engine, per_shard_limit, union_of
 from tablemere.errors import EngineError
 from tablemere.functions.semantics import ANSI, REFERENCE, Semantics
+from tablemere.operators.aggregates import wrapped_long
 from tablemere.plans.spec import QuerySpec
 from tablemere.sources.rows import POSITION, hidden, scan
 from tablemere.sources.sinks import csv_lines, envelope_text, json_lines
@@ -465,7 +466,8 @@ def nan_is_not_greater(spark: SparkSession, d: str) -> DataFrame:
     "% 18446744073709551616 - 9223372036854775808 AS BIGINT) AS s FROM orders"
 )
 def sum_int64_wrap(spark: SparkSession, d: str) -> DataFrame:
-    return _on(spark, d, QuerySpec("orders").aggregate("SUM", "v", "s"), REFERENCE, v=F.col("o_custkey") * 100_000_000_000_000)
+    product = F.col("o_custkey").cast("decimal(19,0)") * 100_000_000_000_000  # beyond a LONG from key 92,234 on
+    return _on(spark, d, QuerySpec("orders").aggregate("SUM", "v", "s"), REFERENCE, v=wrapped_long(product))
 
 
 @_query("SELECT * FROM region WHERE 1 = 0")

@@ -31,6 +31,14 @@ def test_query(spark, duck, name):
     assert rows(mine) == rows(want)
 
 
+@pytest.mark.parametrize("keys", [[92233, 92234], [-92233, -92234], [899999, None, -5, 14999], [2**63 - 1, 2**63 - 1, 1], [-(2**63), -1], list(range(0, 900000, 10007))])
+def test_sum_int64_wrap_of_large_keys(spark, tmp_path, keys):
+    name, path = "sum_int64_wrap", f"{tmp_path}/orders.parquet"
+    pd.DataFrame({"o_orderkey": range(len(keys)), "o_custkey": pd.array(keys, "Int64")}).to_parquet(path)
+    want = duckdb.sql(contract.oracle_sql()[name].replace("FROM orders", f"FROM read_parquet('{path}')")).fetchall()
+    assert [tuple(r) for r in contract.queries()[name](spark, str(tmp_path)).collect()] == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["l_suppkey", "trip_count", "avg_fare"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
